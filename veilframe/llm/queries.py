@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilframe.llm import pii
+from veilframe.llm import names, pii
 from veilframe.session import table
 
 
@@ -23,6 +23,21 @@ def p2_redacted(spark, sf_dir):
     return pii.placeholders(segments, "text", "redacted", F.col("header")).select("seg_key", "redacted").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_redacted)}
+def _linked(spark, sf_dir):
+    return names.link(names.records(table(spark, sf_dir, "registry"), table(spark, sf_dir, "mapping")))
+
+
+def p3_found(spark, sf_dir):
+    """Every pair of records that stand for one person or organisation."""
+    return names.pairs(_linked(spark, sf_dir))
+
+
+def p3_entities(spark, sf_dir):
+    """Every person and organisation record with its entity and the number of records in it."""
+    linked = _linked(spark, sf_dir)
+    return linked.join(linked.groupBy("entity").agg(F.count("*").alias("n_records")), "entity").select("rec_id", "entity", "n_records")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_entities)}
 
 ORACLE: dict[str, str] = {}
