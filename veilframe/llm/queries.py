@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilframe.llm import names, pii
+from veilframe.llm import canonical, names, pii
 from veilframe.session import table
 
 
@@ -38,6 +38,19 @@ def p3_entities(spark, sf_dir):
     return linked.join(linked.groupBy("entity").agg(F.count("*").alias("n_records")), "entity").select("rec_id", "entity", "n_records")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_entities)}
+def p4_found(spark, sf_dir):
+    """Every pair of segments, and of mapping entries of one category, that look the same but differ."""
+    a = canonical.lookalike_pairs(table(spark, sf_dir, "segments"), "seg_key", "text")
+    b = canonical.lookalike_pairs(table(spark, sf_dir, "mapping"), "rec_id", "map_key", "category")
+    return a.select(F.lit("segments").alias("table_name"), "id_a", "id_b").unionByName(b.select(F.lit("mapping").alias("table_name"), "id_a", "id_b"))
+
+
+def p4_canonical(spark, sf_dir):
+    """Every mapping entry with its key in the one form."""
+    rows = table(spark, sf_dir, "mapping").select("rec_id", "category", "map_key")
+    return canonical.canonical(rows, "map_key", "form").select("rec_id", "category", "form").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_entities, p4_found, p4_canonical)}
 
 ORACLE: dict[str, str] = {}
