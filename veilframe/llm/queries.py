@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilframe.llm import canonical, names, pii
-from veilframe.session import table
+from veilframe.llm import canonical, mixing, names, packing, pii, reading, tokens
+from veilframe.session import ensure_checkpoint_dir, table
 
 
 def p2_found(spark, sf_dir):
@@ -51,6 +51,60 @@ def p4_canonical(spark, sf_dir):
     return canonical.canonical(rows, "map_key", "form").select("rec_id", "category", "form").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_entities, p4_found, p4_canonical)}
+def _packed(spark, sf_dir):
+    # pack_sizes is a small table of parameters.
+    runs = sorted((r.run_id, r.capacity) for r in table(spark, sf_dir, "pack_sizes").distinct().collect())
+    ensure_checkpoint_dir(spark)
+    return packing.pack(tokens.measure(table(spark, sf_dir, "documents")).checkpoint(), runs)
+
+
+def p6_packed(spark, sf_dir):
+    """Every document with tokens, in containers of each capacity."""
+    return _packed(spark, sf_dir)
+
+
+def p6_usage(spark, sf_dir):
+    """How full the containers of each capacity are."""
+    return packing.usage(_packed(spark, sf_dir))
+
+
+def _mixed(spark, sf_dir):
+    ensure_checkpoint_dir(spark)
+    items = tokens.measure(table(spark, sf_dir, "documents")).checkpoint()
+    plan = mixing.budgets(items, table(spark, sf_dir, "mix_targets"))
+    return mixing.select(items, plan), plan
+
+
+def p7_selected(spark, sf_dir):
+    """The documents of each mix and how often each is used."""
+    return _mixed(spark, sf_dir)[0]
+
+
+def p7_shares(spark, sf_dir):
+    """The share of all tokens that each source of each mix reaches."""
+    return mixing.report(*_mixed(spark, sf_dir))
+
+
+def _levels(spark, sf_dir):
+    return reading.levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "graded_passages"))
+
+
+def p8_found(spark, sf_dir):
+    """Every document whose prose is as demanding as the two upper bands."""
+    return _levels(spark, sf_dir).filter("demanding").select("doc_id")
+
+
+def p8_levels(spark, sf_dir):
+    """The reading level of every document."""
+    return _levels(spark, sf_dir)
+
+
+def p8_profile(spark, sf_dir):
+    """Reading levels by source and language of the prose."""
+    own = _levels(spark, sf_dir).filter("level is not null")
+    return own.groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.avg("level").alias("mean_level"), F.avg(F.col("demanding").cast("double")).alias("demanding_share"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_entities, p4_found, p4_canonical, p6_packed, p6_usage, p7_selected, p7_shares, p8_found, p8_levels, p8_profile)}
 
 ORACLE: dict[str, str] = {}
