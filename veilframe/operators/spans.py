@@ -1,0 +1,45 @@
+"""All matches of a pattern in a text column, with code point offsets, inside the JVM.
+
+A match is put between two marker characters, the marked text is split at them, and the running lengths of the
+parts are the offsets. Markers that occur in the text itself are replaced beforehand by private-use characters of the same length.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+OPEN, CLOSE = "\x01", "\x02"
+SPAN = "array<struct<start_pos:int,end_pos:int>>"
+
+
+def clean(text: Column) -> Column:
+    return F.translate(text, OPEN + CLOSE, "")
+
+
+def matches(text: Column, pattern: str, group: bool = False) -> Column:
+    """Array of (start_pos, end_pos), in order. With ``group`` the pattern has two groups, what leads and the value."""
+    marked = F.regexp_replace(text, F.lit(pattern), F.lit(f"$1{OPEN}$2{CLOSE}" if group else f"{OPEN}$0{CLOSE}"))
+    parts = F.split(marked, f"[{OPEN}{CLOSE}]", -1)
+    none = F.array().cast(SPAN)
+    zero = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("inside"), none.alias("out"))
+
+    def step(acc: Column, part: Column) -> Column:
+        to = acc["pos"] + F.length(part)
+        span = F.array(F.struct(acc["pos"].alias("start_pos"), to.alias("end_pos")))
+        return F.struct(to.alias("pos"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+    return F.when(F.instr(marked, OPEN) > 0, F.aggregate(parts, zero, step, lambda acc: acc["out"])).otherwise(none)
+
+
+def value(text: Column, span: Column) -> Column:
+    return F.substring(text, span["start_pos"] + 1, span["end_pos"] - span["start_pos"])
+
+
+def overlaps(a: Column, b: Column) -> Column:
+    return (a["start_pos"] < b["end_pos"]) & (b["start_pos"] < a["end_pos"])
+
+
+def unclaimed(found: Column, taken: Column) -> Column:
+    """Those of ``found`` that overlap none of ``taken``."""
+    return F.filter(found, lambda c: ~F.exists(taken, lambda t: overlaps(c, t)))
