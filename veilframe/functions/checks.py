@@ -95,16 +95,23 @@ def alpha_tag(index: Column) -> Column:
 
 
 def masked(text: Column, category: Column) -> Column:
-    """A value with most of it hidden; the same for a category wherever it is shown."""
-    n = F.length(text)
-    stars = lambda k: F.repeat(F.lit("*"), F.greatest(k, F.lit(0)))
-    first = F.substring(text, 1, 1)
-    edges = F.when(n <= 1, F.lit("*")).when(n == 2, F.concat(first, F.lit("*"))).otherwise(F.concat(first, stars(n - 2), F.substring(text, n, 1)))
-    last4 = F.concat(F.lit("***-"), F.right(digits(text), F.lit(4)))
-    at = F.instr(text, "@")
-    mail = F.when(at > 1, F.concat(first, F.lit("***"), F.substring(text, at, n))).otherwise(F.concat(first, F.lit("***")))
-    resident = F.concat(F.substring(digits(text), 1, 6), F.lit("-*******"))
+    """A value of which only as much shows as is needed to find its place again. Blank gives ''."""
+    v = F.trim(text)
+    n, d = F.length(v), digits(v)
+    k = F.length(d)
+    stars = lambda x: F.repeat(F.lit("*"), F.greatest(x, F.lit(0)).cast("int"))
+    head = lambda x: F.when(F.length(x) <= 1, stars(F.greatest(F.length(x), F.lit(1)))).otherwise(F.concat(F.substring(x, 1, 1), stars(F.length(x) - 1)))
+    last = lambda m: F.concat(stars(k - m), F.right(d, F.lit(m)))
+    person = F.when(n <= 2, F.concat(F.substring(v, 1, 1), F.lit("*"))).otherwise(F.concat(F.substring(v, 1, 1), stars(n - 2), F.right(v, F.lit(1))))
+    number = F.when(k >= 8, last(4)).when(k == 0, stars(F.greatest(n, F.lit(1)))).otherwise(stars(k))
+    local, domain = F.substring_index(v, "@", 1), F.regexp_replace(v, "^[^@]*@", "")
+    dot = F.instr(F.reverse(domain), ".")
+    host = F.when(dot > 0, F.concat(head(F.left(domain, F.length(domain) - dot)), F.right(domain, dot))).otherwise(head(domain))
+    first = F.substring_index(v, " ", 1)
+    place = F.when(v.rlike(r"\S\s+\S") & first.rlike("[시도]$"), F.concat(first, F.lit(" ******"))).otherwise(head(v))
+    resident = F.when(k >= 2, F.concat(F.left(d, F.lit(2)), F.lit("****-*******"))).otherwise(F.lit("******"))
     return (
-        F.when(category == "person", edges).when(category.isin("phone", "tel", "card", "account"), last4).when(category == "email", mail)
-        .when(category.isin("rrn", "foreign_id"), resident).otherwise(F.concat(first, stars(n - 1)))
+        F.when(n == 0, F.lit("")).when(category == "person", person).when(category.isin("rrn", "foreign_id"), resident).when(category.isin("phone", "tel"), number)
+        .when((category == "email") & F.contains(v, F.lit("@")), F.concat(head(local), F.lit("@"), host)).when(category == "card", last(4)).when(category == "account", last(3))
+        .when(category == "address", place).otherwise(head(v))
     )

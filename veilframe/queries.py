@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from veilframe.operators import intervals, nested
-from veilframe.session import table
+from pyspark.sql import functions as F
+
+from veilframe.functions import checks
+from veilframe.functions.lexicon import HEADER_CATEGORY
+from veilframe.operators import audit, detectors, intervals, mapping, merge, nested, rewrite, structure
+from veilframe.session import ensure_checkpoint_dir, table
+from veilframe.sources import text
 
 
 def p1_found(spark, sf_dir):
@@ -25,7 +30,260 @@ def p5_found(spark, sf_dir):
     return intervals.coverage(table(spark, sf_dir, "findings"), ["doc_id", "seg_id"], "start_pos", "end_pos")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p1_variants, p5_found)}
+def _segments(spark, sf_dir):
+    """Every segment once: a repeated row differs by loaded_at alone."""
+    c = ["seg_key", "doc_id", "seg_id", "ord", "part", "kind", "text", "table_ctx", "pieces"]
+    return table(spark, sf_dir, "segments").select(*c).dropDuplicates(["seg_key"])
+
+
+def _findings(spark, sf_dir):
+    c = ["finding_id", "doc_id", "seg_id", "part", "start_pos", "end_pos", "text", "category", "grade", "detectors"]
+    return table(spark, sf_dir, "findings").select(*c).dropDuplicates(["finding_id"]).withColumn("category", F.lower("category"))
+
+
+def _mapping(spark, sf_dir):
+    return table(spark, sf_dir, "mapping").select("rec_id", "category", "map_key", "original", "pseudonym", "n_used", "idx").dropDuplicates(["rec_id"])
+
+
+def _detected(spark, sf_dir, *only):
+    found = detectors.candidates(_segments(spark, sf_dir), header=F.col("table_ctx.header_text"), pieces=F.col("pieces"), only=only or None)
+    return detectors.exploded(found, "seg_key").select("seg_key", "start_pos", "end_pos", "category", "grade", "note", "value")
+
+
+def _detector_query(name):
+    def query(spark, sf_dir):
+        return _detected(spark, sf_dir, name)
+
+    query.__name__ = f"l1_{name}"
+    query.__doc__ = f"Candidates of the detector {name} in all segments."
+    return query
+
+
+def l1_email_values(spark, sf_dir):
+    """Plain e-mail addresses of all segments, with how often each stands in a segment."""
+    found = _detected(spark, sf_dir, "email").filter("note = ''")
+    return found.groupBy("seg_key", "value").agg(F.count("*").alias("n"))
+
+
+def src_lines(spark, sf_dir):
+    return text.lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def src_markdown_cells(spark, sf_dir):
+    return text.markdown_cells(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def src_grid(spark, sf_dir):
+    """Table rows of segments, put together again."""
+    c = F.col("table_ctx")
+    cells = _segments(spark, sf_dir).filter(c.isNotNull()).select("doc_id", "seg_id", c["table_id"].alias("table_id"), c["row_no"].alias("row_no"), c["col_no"].alias("col_no"), "text")
+    return text.grid(cells)
+
+
+def src_chunks(spark, sf_dir):
+    return text.chunks(_segments(spark, sf_dir))
+
+
+def val_resident(spark, sf_dir):
+    """Shape and check digit of the mapping's resident numbers."""
+    d = checks.digits(F.col("map_key"))
+    return _mapping(spark, sf_dir).filter("category = 'rrn' and map_key is not null").select("rec_id", d.alias("digits"), checks.resident_shape(d).alias("shape_ok"), checks.resident_check(d).alias("check_ok"), checks.foreign_shape(d).alias("is_foreign"))
+
+
+def val_business(spark, sf_dir):
+    """Check digit of the registry's business numbers."""
+    d = checks.digits(F.col("attributes")["bizno"])
+    return table(spark, sf_dir, "registry").filter(F.col("attributes")["bizno"].isNotNull()).select("rec_id", d.alias("digits"), checks.business_check(d).alias("check_ok")).distinct()
+
+
+def val_luhn(spark, sf_dir):
+    """Luhn check of all runs of 13 to 19 digits in segments, separators aside."""
+    runs = _segments(spark, sf_dir).select("seg_key", checks.digits(F.col("text")).alias("digits")).filter(F.length("digits").between(13, 19))
+    return runs.select("seg_key", "digits", checks.luhn(F.col("digits")).alias("ok"))
+
+
+def sc_mapping_key(spark, sf_dir):
+    return _mapping(spark, sf_dir).filter("original is not null").select("rec_id", checks.mapping_key(F.col("original")).alias("key"))
+
+
+def sc_context_text(spark, sf_dir):
+    return _segments(spark, sf_dir).filter("text is not null").select("seg_key", detectors.context(F.col("text"), F.col("table_ctx.header_text")).alias("context"))
+
+
+def psn_tag(spark, sf_dir):
+    """The letters of each index."""
+    return _mapping(spark, sf_dir).filter("idx is not null").select("rec_id", checks.alpha_tag(F.col("idx")).alias("tag"))
+
+
+def psn_issue(spark, sf_dir):
+    """Pseudonyms for the recorded findings, numbered over all documents."""
+    f = _findings(spark, sf_dir).select("category", F.col("text").alias("value"), "doc_id", "seg_id", "start_pos", "finding_id")
+    f = f.withColumn("start_pos", F.coalesce("start_pos", F.lit(-1)))
+    return mapping.issue(f, ["doc_id", "seg_id", "start_pos", "finding_id"])
+
+
+def psn_continue(spark, sf_dir):
+    """New keys of the findings, numbered after those that the mapping holds."""
+    f = _findings(spark, sf_dir).select("category", F.col("text").alias("value"), "doc_id", "seg_id", "start_pos", "finding_id")
+    old = _mapping(spark, sf_dir).select("category", "map_key", "idx").filter("idx is not null")
+    return mapping.issue(f.withColumn("start_pos", F.coalesce("start_pos", F.lit(-1))), ["doc_id", "seg_id", "start_pos", "finding_id"], old)
+
+
+def mrg_findings(spark, sf_dir):
+    """Candidates of all detectors, resolved per segment."""
+    found = detectors.candidates(_segments(spark, sf_dir), header=F.col("table_ctx.header_text"), pieces=F.col("pieces"))
+    out = merge.merged(found, ["doc_id", "seg_id"])
+    return out.withColumn("detectors", F.array_join("detectors", ","))
+
+
+def mrg_allow_list(spark, sf_dir):
+    """Recorded findings whose text no mapping entry that was used more than once holds."""
+    allow = _mapping(spark, sf_dir).filter("n_used > 1 and original is not null").select(F.col("original").alias("text")).distinct()
+    return _findings(spark, sf_dir).filter("text is not null").join(allow, "text", "left_anti").select("finding_id", "text")
+
+
+def rul_deny_list(spark, sf_dir):
+    """Originals of the mapping, wherever they stand in a segment."""
+    deny = _mapping(spark, sf_dir).filter("length(original) >= 2").select("original")
+    return rewrite.contains_pairs(_segments(spark, sf_dir), deny, "seg_key", "text", "original")
+
+
+def l2_header_category(spark, sf_dir):
+    h = F.col("table_ctx.header_text")
+    return _segments(spark, sf_dir).filter(h.isNotNull()).select(h.alias("header"), structure.header_category(h).alias("category")).filter("category is not null").groupBy("header", "category").agg(F.count("*").alias("n"))
+
+
+def l2_harvest(spark, sf_dir):
+    return structure.harvested(_segments(spark, sf_dir)).select("doc_id", "seg_id", "category", "value").distinct()
+
+
+def l2_registry(spark, sf_dir):
+    return structure.registered(structure.harvested(_segments(spark, sf_dir)))
+
+
+def l2_row_attributes(spark, sf_dir):
+    out = structure.row_attributes(_segments(spark, sf_dir))
+    return out.select("doc_id", "part", "table_id", "row_no", F.array_join(F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("attributes"))
+
+
+def l2_propagate(spark, sf_dir):
+    s = _segments(spark, sf_dir)
+    return structure.propagated(s, structure.harvested(s))
+
+
+def l3_unique_surnames(spark, sf_dir):
+    return structure.unique_surnames(structure.harvested(_segments(spark, sf_dir)))
+
+
+def l3_surname_mentions(spark, sf_dir):
+    s = _segments(spark, sf_dir)
+    return structure.surname_mentions(s, structure.harvested(s))
+
+
+def l3_references(spark, sf_dir):
+    """Segments at or after their document's list of references."""
+    return structure.after_references(_segments(spark, sf_dir)).filter("in_references").select("doc_id", "seg_id")
+
+
+def l3_organisations(spark, sf_dir):
+    out = structure.organisations(_segments(spark, sf_dir)).select("seg_key", "text", F.explode("orgs").alias("o"))
+    return out.select("seg_key", "o.start_pos", "o.end_pos", F.substring("text", F.col("o.start_pos") + 1, F.col("o.end_pos") - F.col("o.start_pos")).alias("value"))
+
+
+def _plans(spark, sf_dir):
+    f = _findings(spark, sf_dir).filter("category is not null and start_pos is not null and end_pos > start_pos and trim(text) <> ''").withColumn("map_key", checks.mapping_key(F.col("text")))
+    return rewrite.planned(f, psn_issue(spark, sf_dir))
+
+
+def pln_apply(spark, sf_dir):
+    """Every segment with its recorded findings replaced by pseudonyms."""
+    return rewrite.apply_plans(_segments(spark, sf_dir).select("seg_key", "doc_id", "seg_id", "text"), _plans(spark, sf_dir), ["doc_id", "seg_id"]).select("seg_key", "rewritten")
+
+
+def pln_mask(spark, sf_dir):
+    """Every certain finding and what a mask puts in its place."""
+    f = _findings(spark, sf_dir).filter("start_pos is not null and end_pos > start_pos")
+    return rewrite.planned(f, None, strict_only=True, mask="*").select("finding_id", "replacement")
+
+
+def rst_restore(spark, sf_dir):
+    """Segments rewritten and put back."""
+    ensure_checkpoint_dir(spark)
+    issued = psn_issue(spark, sf_dir).checkpoint()
+    f = _findings(spark, sf_dir).filter("category is not null and start_pos is not null and end_pos > start_pos and trim(text) <> ''").withColumn("map_key", checks.mapping_key(F.col("text")))
+    out = rewrite.apply_plans(_segments(spark, sf_dir).select("seg_key", "doc_id", "seg_id", "text"), rewrite.planned(f, issued), ["doc_id", "seg_id"])
+    return rewrite.restore(out, issued, "seg_key", "rewritten").select("seg_key", "restored")
+
+
+def ver_leaks(spark, sf_dir):
+    """Originals of the mapping that still stand in a segment, with other separators too."""
+    return audit.leaks(_segments(spark, sf_dir), _mapping(spark, sf_dir), "seg_key", "text")
+
+
+def ver_verdict(spark, sf_dir):
+    """Documents of recorded findings, judged: no certain finding, no parse issue."""
+    f = _findings(spark, sf_dir)
+    issues = f.filter("category is null").select("doc_id", F.lit("block").alias("level"))
+    return audit.verdict(f, f.filter("grade = '확실' and category in ('rrn', 'passport')"), f.filter("category = 'confidential'"), issues)
+
+
+def ver_context_risk(spark, sf_dir):
+    return audit.context_risk(_segments(spark, sf_dir))
+
+
+def grd_documents(spark, sf_dir):
+    return audit.guard(_segments(spark, sf_dir), _findings(spark, sf_dir).filter("category is not null"))
+
+
+def grd_run(spark, sf_dir):
+    """How many documents have each level."""
+    return grd_documents(spark, sf_dir).groupBy("level").agg(F.count("*").alias("n_docs"), F.sum("total").alias("n_findings"))
+
+
+def rpt_by_category(spark, sf_dir):
+    return audit.by_category(_findings(spark, sf_dir).filter("category is not null"))
+
+
+def rpt_masked(spark, sf_dir):
+    return _mapping(spark, sf_dir).filter("original is not null").select("rec_id", checks.masked(F.col("original"), F.col("category")).alias("masked"))
+
+
+def rpt_samples(spark, sf_dir):
+    """The first three distinct masked values of each category (a top-k report)."""
+    f = _findings(spark, sf_dir).withColumn("value", F.col("text"))
+    return audit.samples(f, ["doc_id", "seg_id", "finding_id"])
+
+
+def flagship(spark, sf_dir):
+    """Detect, resolve and rate: the risk level of every document, from its text alone."""
+    found = detectors.candidates(_segments(spark, sf_dir), header=F.col("table_ctx.header_text"), pieces=F.col("pieces"))
+    f = merge.merged(found, ["doc_id"]).select("doc_id", "category")
+    return audit.guard(table(spark, sf_dir, "segments").select("doc_id"), f)
+
+
+_OWN = (
+    p1_found, p1_tables, p1_variants, p5_found, l1_email_values, src_lines, src_markdown_cells, src_grid, src_chunks, val_resident, val_business, val_luhn,
+    sc_mapping_key, sc_context_text, psn_tag, psn_issue, psn_continue, mrg_findings, mrg_allow_list, rul_deny_list, l2_header_category, l2_harvest, l2_registry,
+    l2_row_attributes, l2_propagate, l3_unique_surnames, l3_surname_mentions, l3_references, l3_organisations, pln_apply, pln_mask, rst_restore, ver_leaks,
+    ver_verdict, ver_context_risk, grd_documents, grd_run, rpt_by_category, rpt_masked, rpt_samples, flagship,
+)
+QUERIES = {f.__name__: f for f in (*_OWN, *map(_detector_query, detectors.DETECTORS))}
+
+# Parts of the SQL that several queries share.
+_SEG = "seg AS (SELECT DISTINCT ON (seg_key) seg_key, doc_id, seg_id, ord, part, kind, text, table_ctx FROM segments)"
+_FIND = "f AS (SELECT DISTINCT ON (finding_id) finding_id, doc_id, seg_id, start_pos, end_pos, text, lower(category) AS category, grade FROM findings)"
+_MAP = "m AS (SELECT DISTINCT ON (rec_id) rec_id, category, map_key, original, n_used, idx FROM mapping)"
+_HEADS = "heads(header, category) AS (VALUES " + ", ".join(f"('{h}', '{c}')" for h, c in sorted(HEADER_CATEGORY.items())) + ")"
+_RANK = "CASE WHEN category IN ('rrn','foreign_id','card','account','passport','driver') THEN 3 WHEN category IN ('person','phone','tel','email','address','birth','vehicle','handle') THEN 2 ELSE 1 END"
+_LEVEL = "CASE coalesce({0}, 0) WHEN 3 THEN '위험' WHEN 2 THEN '주의' WHEN 1 THEN '참고' ELSE '없음' END"
+_DIGIT = lambda d, i: f"CAST(substr({d}, {i}, 1) AS INT)"
+_SUM = lambda d, ws: " + ".join(f"{_DIGIT(d, i + 1)} * {w}" for i, w in enumerate(ws))
+_BIRTH = "(CAST(substr(d,3,2) AS INT) BETWEEN 1 AND 12 AND CAST(substr(d,5,2) AS INT) BETWEEN 1 AND CASE WHEN CAST(substr(d,3,2) AS INT) = 2 THEN 29 WHEN CAST(substr(d,3,2) AS INT) IN (4,6,9,11) THEN 30 ELSE 31 END)"
+_KEY = r"""CASE WHEN length(regexp_replace(k, '[^0-9]', '', 'g')) >= 6 AND NOT regexp_matches(k, '\p{L}') THEN regexp_replace(k, '[^0-9]', '', 'g') ELSE lower(k) END"""
+_NORMAL = r"""trim(regexp_replace(replace(replace(nfc_normalize({0}), chr(8203), ''), chr(65279), ''), '[\s\p{{Z}}]+', ' ', 'g'), ' ')"""
+_GUARD = f"""{_FIND}, g AS (SELECT doc_id, count(*) AS total, max({_RANK}) AS r FROM f WHERE category IS NOT NULL GROUP BY doc_id),
+docs AS (SELECT DISTINCT doc_id FROM segments),
+out AS (SELECT docs.doc_id, coalesce(total, 0) AS total, true AS checked, {_LEVEL.format('r')} AS level FROM docs LEFT JOIN g ON docs.doc_id IS NOT DISTINCT FROM g.doc_id)"""
 
 ORACLE = {
     "p5_found": """
@@ -39,4 +297,51 @@ g AS (SELECT doc_id, seg_id, lag(e) OVER (PARTITION BY doc_id, seg_id ORDER BY s
 SELECT doc_id, seg_id, 'cover' AS kind, s AS start_pos, e AS end_pos FROM c
 UNION ALL SELECT doc_id, seg_id, 'gap', s, e FROM g WHERE s IS NOT NULL
 """,
+    "l1_email_values": rf"""WITH {_SEG}, e AS (SELECT seg_key, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}')) AS value FROM seg)
+SELECT seg_key, value, count(*) AS n FROM e GROUP BY ALL""",
+    "src_lines": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL),
+e AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) - 1 AS i FROM l)
+SELECT doc_id, printf('L%05d', i + 1) AS seg_id, CAST(i AS INT) AS ord, 'line' AS kind, regexp_replace(line, '\\r$', '') AS text FROM e""",
+    "src_grid": f"""WITH {_SEG}, c AS (SELECT doc_id, table_ctx.table_id AS table_id, table_ctx.row_no AS row_no, table_ctx.col_no AS col_no, seg_id, coalesce(text, '') AS text FROM seg WHERE table_ctx IS NOT NULL)
+SELECT doc_id, table_id, row_no, '| ' || string_agg(text, ' | ' ORDER BY col_no, seg_id) || ' |' AS line FROM c GROUP BY doc_id, table_id, row_no""",
+    "val_resident": f"""WITH {_MAP}, n AS (SELECT rec_id, regexp_replace(map_key, '[^0-9]', '', 'g') AS d FROM m WHERE category = 'rrn' AND map_key IS NOT NULL)
+SELECT rec_id, d AS digits, length(d) = 13 AND substr(d,7,1) <> '0' AND {_BIRTH} AS shape_ok,
+CASE WHEN length(d) = 13 THEN (11 - ({_SUM('d', [2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5])}) % 11) % 10 = {_DIGIT('d', 13)} ELSE false END AS check_ok,
+length(d) = 13 AND substr(d,7,1) IN ('5','6','7','8') AND {_BIRTH} AS is_foreign FROM n""",
+    "val_business": f"""WITH n AS (SELECT DISTINCT rec_id, regexp_replace(attributes['bizno'], '[^0-9]', '', 'g') AS d FROM registry WHERE attributes['bizno'] IS NOT NULL)
+SELECT rec_id, d AS digits, CASE WHEN length(d) = 10 THEN (10 - ({_SUM('d', [1, 3, 7, 1, 3, 7, 1, 3, 5])} + {_DIGIT('d', 9)} * 5 // 10) % 10) % 10 = {_DIGIT('d', 10)} ELSE false END AS check_ok FROM n""",
+    "val_luhn": f"""WITH {_SEG}, n AS (SELECT seg_key, regexp_replace(text, '[^0-9]', '', 'g') AS d FROM seg WHERE text IS NOT NULL),
+k AS (SELECT * FROM n WHERE length(d) BETWEEN 13 AND 19)
+SELECT seg_key, d AS digits, list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(d, length(d) - i + 1, 1) AS INT) ELSE (CAST(substr(d, length(d) - i + 1, 1) AS INT) * 2) // 10 + (CAST(substr(d, length(d) - i + 1, 1) AS INT) * 2) % 10 END)) % 10 = 0 AS ok FROM k""",
+    "sc_context_text": f"""WITH {_SEG} SELECT seg_key, CASE WHEN length(table_ctx.header_text) > 0 THEN table_ctx.header_text || ' ' || text ELSE text END AS context FROM seg WHERE text IS NOT NULL""",
+    "sc_mapping_key": f"""WITH {_MAP}, k AS (SELECT rec_id, {_NORMAL.format('original')} AS k FROM m WHERE original IS NOT NULL) SELECT rec_id, {_KEY} AS key FROM k""",
+    "psn_issue": f"""WITH {_FIND}, a AS (SELECT *, coalesce(start_pos, -1) AS sp, {_NORMAL.format('text')} AS k FROM f WHERE category IS NOT NULL AND trim(text, ' ') <> ''),
+b AS (SELECT *, {_KEY} AS map_key FROM a),
+c AS (SELECT *, row_number() OVER (PARTITION BY category, map_key ORDER BY doc_id, seg_id, sp, finding_id) AS r, count(*) OVER (PARTITION BY category, map_key) AS n_used FROM b),
+d AS (SELECT category, map_key, text AS original, n_used, row_number() OVER (PARTITION BY category ORDER BY doc_id, seg_id, sp, finding_id) - 1 AS idx FROM c WHERE r = 1)
+SELECT category, map_key, original, idx, CASE WHEN category IN ('person','org','dept') THEN '[' || CASE category WHEN 'person' THEN '연구자' WHEN 'org' THEN '기관' ELSE '부서' END ||
+CASE WHEN idx < 26 THEN chr(CAST(65 + idx AS INT)) WHEN idx < 702 THEN chr(CAST(65 + (idx - 26) // 26 AS INT)) || chr(CAST(65 + (idx - 26) % 26 AS INT))
+ELSE chr(CAST(65 + (idx - 702) // 676 AS INT)) || chr(CAST(65 + (idx - 702) // 26 % 26 AS INT)) || chr(CAST(65 + (idx - 702) % 26 AS INT)) END || ']'
+ELSE '[' || category || CAST(idx + 1 AS VARCHAR) || ']' END AS pseudonym, n_used FROM d""",
+    "psn_tag": f"""WITH {_MAP} SELECT rec_id, CASE WHEN idx < 26 THEN chr(CAST(65 + idx AS INT)) WHEN idx < 702 THEN chr(CAST(65 + (idx - 26) // 26 AS INT)) || chr(CAST(65 + (idx - 26) % 26 AS INT))
+ELSE chr(CAST(65 + (idx - 702) // 676 AS INT)) || chr(CAST(65 + (idx - 702) // 26 % 26 AS INT)) || chr(CAST(65 + (idx - 702) % 26 AS INT)) END AS tag FROM m WHERE idx IS NOT NULL""",
+    "mrg_allow_list": f"""WITH {_FIND}, {_MAP} SELECT finding_id, text FROM f WHERE text IS NOT NULL AND text NOT IN (SELECT original FROM m WHERE n_used > 1 AND original IS NOT NULL)""",
+    "rul_deny_list": f"""WITH {_SEG}, {_MAP} SELECT DISTINCT seg_key, original FROM seg JOIN m ON contains(seg.text, m.original) WHERE length(original) >= 2""",
+    "l2_header_category": f"""WITH {_SEG}, {_HEADS}, h AS (SELECT table_ctx.header_text AS header FROM seg WHERE table_ctx.header_text IS NOT NULL)
+SELECT h.header, heads.category, count(*) AS n FROM h JOIN heads ON heads.header = regexp_replace(h.header, '\\s+', '', 'g') GROUP BY ALL""",
+    "l2_harvest": rf"""WITH {_SEG}, {_HEADS}, c AS (SELECT doc_id, seg_id, trim(text, ' ') AS t, heads.category AS category FROM seg JOIN heads ON heads.header = table_ctx.header_text WHERE NOT coalesce(table_ctx.is_header, false)
+  AND NOT regexp_matches(text, '\[[가-힣A-Za-z]+?(?:[A-Z]+|[0-9]+)\]')),
+p AS (SELECT doc_id, seg_id, category, unnest(CASE WHEN regexp_matches(t, '^[A-Z][A-Za-z.''\-]+(?: [A-Z][A-Za-z.''\-]+){{1,3}}$') THEN [t] ELSE list_filter(regexp_extract_all(t, '[가-힣]+'), lambda x: length(x) BETWEEN 2 AND 5) END) AS value FROM c WHERE category = 'person')
+SELECT DISTINCT doc_id, seg_id, category, value FROM p UNION SELECT DISTINCT doc_id, seg_id, category, t FROM c WHERE category = 'org' AND length(t) >= 3 OR category = 'dept' AND length(t) > 0""",
+    "l3_references": rf"""WITH {_SEG}, s AS (SELECT doc_id, min(ord) AS o FROM seg WHERE regexp_matches(text, '^\s*#{{0,4}}\s*(?:참고문헌|References|인용문헌|참고자료)') GROUP BY doc_id)
+SELECT seg.doc_id, seg_id FROM seg JOIN s ON seg.doc_id = s.doc_id AND ord >= o""",
+    "pln_mask": f"""WITH {_FIND} SELECT finding_id, repeat('*', end_pos - start_pos) AS replacement FROM f WHERE end_pos > start_pos AND grade = '확실'""",
+    "ver_verdict": f"""WITH {_FIND} SELECT doc_id, count(*) FILTER (WHERE grade = '확실' AND category IN ('rrn','passport')) AS rescans, count(*) FILTER (WHERE category = 'confidential') AS leaks, count(*) FILTER (WHERE category IS NULL) AS blocks,
+count(*) FILTER (WHERE grade = '확실' AND category IN ('rrn','passport') OR category = 'confidential' OR category IS NULL) = 0 AS passed FROM f GROUP BY doc_id""",
+    "ver_context_risk": rf"""WITH {_SEG}, h AS (SELECT *, CASE WHEN regexp_matches(text, '(국내\s*(유일|최초|최대)|세계\s*(최초|유일|최대)|유일(한|하게)?\s*(기관|대학|기업|보유)|단독\s*(보유|수행|운영)|국내에서\s*(유일|처음))') THEN 'context-unique'
+  WHEN regexp_matches(text, '(^|[^0-9])[1-9]\s*명(의)?\s*(연구원|참여|전담|박사|교수)') THEN 'context-small-cohort' END AS code FROM seg),
+n AS (SELECT doc_id, seg_id, part, code, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord, seg_id) AS INT) AS nth FROM h WHERE code IS NOT NULL) SELECT * FROM n WHERE nth <= 20""",
+    "grd_documents": f"WITH {_GUARD} SELECT * FROM out",
+    "grd_run": f"WITH {_GUARD} SELECT level, count(*) AS n_docs, CAST(sum(total) AS BIGINT) AS n_findings FROM out GROUP BY level",
+    "rpt_by_category": f"""WITH {_FIND} SELECT category, count(*) FILTER (WHERE grade = '확실') AS certain, count(*) FILTER (WHERE grade = '추정') AS likely, count(*) FILTER (WHERE grade = '검토') AS review, count(*) AS total FROM f WHERE category IS NOT NULL GROUP BY category""",
 }
