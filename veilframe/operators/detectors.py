@@ -86,102 +86,103 @@ def _none() -> Column:
     return F.array().cast(CANDIDATE)
 
 
-def rrn(t, ctx, as_of):
-    num = lambda s: checks.digits(spans.value(t, s))
-    ok = lambda s: checks.resident_shape(num(s))
-    kind = lambda s: F.when(checks.foreign_shape(num(s)), "foreign_id").otherwise("rrn")
-    note = lambda s: F.when(checks.foreign_shape(num(s)), "외국인등록번호 형태").when(checks.resident_check(num(s)), "체크섬 통과").otherwise("체크섬 불일치(2020.10 이후 발급분 가능)")
-    closed = lambda s: F.when(checks.resident_check(num(s)), CERTAIN).otherwise(LIKELY)
-    return F.concat(_as(F.filter(spans.matches(t, RRN), ok), kind, CERTAIN, note), _as(F.filter(spans.matches(t, RRN_CLOSED), ok), kind, closed, note))
+_DIGIT, _DIGITS = ("_digit", "_digits")
+#: Raw patterns: name -> (pattern, value in group 2, what a text must have for the pattern to be tried).
+PATTERNS = {
+    "rrn": (RRN, False, _DIGITS), "rrn_closed": (RRN_CLOSED, False, _DIGITS), "phone": (PHONE, False, _DIGITS), "spoken": (SPOKEN_PHONE, False, "공일"), "tel": (TEL, False, _DIGITS),
+    "abroad": (TEL_ABROAD, False, "+"), "extension": (EXTENSION, True, _DIGITS), "email": (EMAIL, False, "@"), "spoken_email": (SPOKEN_EMAIL, False, "_at"), "plain_email": (SPOKEN_EMAIL_PLAIN, False, "_at"),
+    "card": (CARD, False, _DIGITS), "account": (ACCOUNT, False, "_account"), "bizno": (BIZNO, False, _DIGITS), "corpno": (CORPNO, False, _DIGITS), "passport": (PASSPORT, False, _DIGITS),
+    "driver": (DRIVER, False, "_driver"), "vehicle": (VEHICLE, False, "_vehicle"), "address": (ADDRESS, False, _DIGIT), "lot": (ADDRESS_LOT, False, _DIGIT), "road": (ADDRESS_ROAD, False, "_address"),
+    "residence": (RESIDENCE, False, "_homes"), "room": (ROOM, False, "호"), "date": (DATE, False, "_birth"), "service": (HANDLE_SERVICE, True, "_services"), "label": (HANDLE_LABEL, True, "_labels"),
+    "project": (PROJECT, True, "번호"), "shape": (PROJECT_SHAPE, False, "20"), "number": (PERSON_NUMBER, True, "번"),
+}
+#: Named conditions of the patterns above. They hold back only texts in which the pattern cannot match.
+GATES = {
+    "_digit": ("_t", r"\p{Nd}"), "_digits": ("_t", r"\p{Nd}{3}"), "_at": ("_t", r"at[)\]  　]|AT[  　]|골뱅이|앳"), "_services": ("_t", SERVICES), "_labels": ("_t", "ID|아이디|계정"),
+    "_homes": ("_t", "아파트|빌라|오피스텔|맨션"), **{f"_{k}": ("_ctx", CONTEXT[k]) for k in ("account", "driver", "vehicle", "address", "birth")},
+}
+#: The patterns of each detector, in the order in which detectors run.
+DETECTORS = {
+    "rrn": ("rrn", "rrn_closed"), "phone": ("phone", "spoken", "tel", "abroad", "extension"), "email": ("email", "spoken_email", "plain_email"), "card": ("card",), "account": ("account",),
+    "bizno": ("bizno", "corpno"), "passport": ("passport",), "driver": ("driver",), "vehicle": ("vehicle",), "address": ("address", "lot", "road", "residence", "room"), "birth": ("date",),
+    "handle": ("service", "label"), "project_no": ("project", "shape", "number"),
+}
 
 
-def phone(t, ctx, as_of):
-    mobile, spoken = spans.matches(t, PHONE), spans.matches(t, SPOKEN_PHONE)
-    first = F.concat(mobile, spoken)
-    tel = spans.unclaimed(spans.matches(t, TEL), first)
-    enough = lambda s: F.length(F.regexp_replace(spans.value(t, s), r"\P{Nd}", "")).between(8, 15)
-    abroad = spans.unclaimed(F.filter(spans.matches(t, TEL_ABROAD), enough), F.concat(first, tel))
-    inner = spans.unclaimed(spans.matches(t, EXTENSION, group=True), F.concat(first, tel, abroad))
-    return F.concat(_as(mobile, "phone"), _as(spoken, "phone", note="한글로 풀어 쓴 번호"), _as(tel, "tel"), _as(abroad, "tel", note="해외 번호"), _as(inner, "tel", note="내선"))
+def _v(s: Column) -> Column:
+    return spans.value(F.col("_t"), s)
 
 
-def email(t, ctx, as_of):
-    plain = spans.matches(t, EMAIL)
-    one = spans.unclaimed(spans.matches(t, SPOKEN_EMAIL), plain)
-    two = spans.unclaimed(spans.matches(t, SPOKEN_EMAIL_PLAIN), F.concat(plain, one))
-    return F.concat(_as(plain, "email"), _as(F.concat(one, two), "email", note="말로 풀어 쓴 전자우편"))
+def _num(s: Column) -> Column:
+    return checks.digits(_v(s))
 
 
-def card(t, ctx, as_of):
-    return _as(F.filter(spans.matches(t, CARD), lambda s: checks.luhn(checks.digits(spans.value(t, s)))), "card", CERTAIN, "Luhn 통과")
+def _gate(name: str) -> Column:
+    return F.col(name) if name in GATES else F.contains("_t", F.lit(name))
 
 
-def account(t, ctx, as_of):
-    def ok(s):
-        v, d = spans.value(t, s), checks.digits(spans.value(t, s))
-        return F.length(d).between(9, 16) & ~v.rlike(f"^(?:{RRN}|{RRN_CLOSED})$") & ~((F.length(d) == 16) & checks.luhn(d))
+def _resident(s: Column) -> Column:
+    return checks.resident_shape(_num(s))
 
-    return F.when(ctx.rlike(CONTEXT["account"]), _as(F.filter(spans.matches(t, ACCOUNT), ok), "account", CERTAIN, "계좌 문맥어 동반")).otherwise(_none())
 
+def _account_ok(s: Column) -> Column:
+    n = F.length(_num(s))
+    return n.between(9, 16) & ~_v(s).rlike(f"^(?:{RRN}|{RRN_CLOSED})$") & ~((n == 16) & checks.luhn(_num(s)))
 
-def bizno(t, ctx, as_of):
-    num = lambda s: checks.digits(spans.value(t, s))
-    biz = _as(spans.matches(t, BIZNO), "bizno", lambda s: F.when(checks.business_check(num(s)), CERTAIN).otherwise(LIKELY), lambda s: F.when(checks.business_check(num(s)), "체크섬 통과").otherwise("체크섬 불일치"))
-    corp = F.filter(spans.matches(t, CORPNO), lambda s: checks.corporate_check(num(s)) & ~checks.resident_shape(num(s)))
-    return F.concat(biz, _as(corp, "corpno", CERTAIN, "체크섬 통과"))
 
+def _home_ok(s: Column) -> Column:
+    generic = f"^(?:{RESIDENCE_GENERIC})(?:아파트|빌라|오피스텔|맨션)"
+    return ~_v(s).rlike(generic) & (_v(s).rlike(f"{D}{S}*[동호]$") | F.col("_ctx").rlike(CONTEXT["residence"]))
 
-def passport(t, ctx, as_of):
-    return _as(spans.matches(t, PASSPORT), "passport", lambda s: F.when(ctx.rlike(CONTEXT["passport"]), CERTAIN).otherwise(LIKELY))
 
+def _trimmed(found: Column) -> Column:
+    cut = F.transform(found, lambda s: F.struct(s["start_pos"].alias("start_pos"), (s["start_pos"] + F.length(F.regexp_replace(_v(s), r"[.\-]+$", ""))).alias("end_pos")))
+    return F.filter(cut, lambda s: _v(s).rlike("[0-9_.]"))
 
-def driver(t, ctx, as_of):
-    return F.when(ctx.rlike(CONTEXT["driver"]), _as(spans.matches(t, DRIVER), "driver")).otherwise(_none())
 
+def _steps(as_of: str) -> list[dict[str, Column]]:
+    """What depends on raw matches, in steps: each step reads columns of the steps before, so nothing is computed twice."""
+    m = F.col
 
-def vehicle(t, ctx, as_of):
-    return F.when(ctx.rlike(CONTEXT["vehicle"]), _as(spans.matches(t, VEHICLE), "vehicle")).otherwise(_none())
-
-
-def address(t, ctx, as_of):
-    none = F.array().cast(spans.SPAN)
-    full = spans.matches(t, ADDRESS)
-    lot = spans.unclaimed(spans.matches(t, ADDRESS_LOT), full)
-    sure = F.concat(full, lot)
-    road = F.when(ctx.rlike(CONTEXT["address"]), spans.unclaimed(spans.matches(t, ADDRESS_ROAD), sure)).otherwise(none)
-    sure = F.concat(sure, road)
-    unit, generic = f"{D}{S}*[동호]$", f"^(?:{RESIDENCE_GENERIC})(?:아파트|빌라|오피스텔|맨션)"
-    home = F.filter(spans.matches(t, RESIDENCE), lambda s: ~spans.value(t, s).rlike(generic) & (spans.value(t, s).rlike(unit) | ctx.rlike(CONTEXT["residence"])))
-    home = spans.unclaimed(home, sure)
-    room = spans.unclaimed(spans.matches(t, ROOM), F.concat(sure, home))
-    return F.concat(_as(sure, "address"), _as(home, "address", LIKELY, "공동주택 이름"), _as(room, "address", LIKELY, "건물·호실"))
-
-
-def birth(t, ctx, as_of):
-    def ok(s):
-        p = F.regexp_extract_all(spans.value(t, s), F.lit("[0-9]+"), F.lit(0))
+    def real_date(s):
+        p = F.regexp_extract_all(_v(s), F.lit("[0-9]+"), F.lit(0))
         return (F.size(p) == 3) & checks.birth_date(F.get(p, F.lit(0)), F.get(p, F.lit(1)), F.get(p, F.lit(2)), as_of)
 
-    return F.when(ctx.rlike(CONTEXT["birth"]), _as(F.filter(spans.matches(t, DATE), ok), "birth", CERTAIN, "생년월일 문맥어 동반")).otherwise(_none())
-
-
-def handle(t, ctx, as_of):
-    def trimmed(found):
-        cut = F.transform(found, lambda s: F.struct(s["start_pos"].alias("start_pos"), (s["start_pos"] + F.length(F.regexp_replace(spans.value(t, s), r"[.\-]+$", ""))).alias("end_pos")))
-        return F.filter(cut, lambda s: spans.value(t, s).rlike("[0-9_.]"))
-
-    service = trimmed(spans.matches(t, HANDLE_SERVICE, group=True))
-    label = spans.unclaimed(trimmed(spans.matches(t, HANDLE_LABEL, group=True)), service)
-    return F.concat(_as(service, "handle", CERTAIN, "서비스 이름 동반"), _as(label, "handle", LIKELY, "계정 이름표"))
-
-
-def project_no(t, ctx, as_of):
-    labelled = F.filter(spans.matches(t, PROJECT, group=True), lambda s: spans.value(t, s).rlike(D))
-    shaped = spans.unclaimed(spans.matches(t, PROJECT_SHAPE), labelled)
-    return F.concat(_as(labelled, "project_no", CERTAIN, "번호 이름표 동반"), _as(shaped, "project_no", CERTAIN, "과제번호 체계"), _as(spans.matches(t, PERSON_NUMBER, group=True), "handle", CERTAIN, "사번·학번 이름표"))
-
-
-DETECTORS = {f.__name__: f for f in (rrn, phone, email, card, account, bizno, passport, driver, vehicle, address, birth, handle, project_no)}
+    return [
+        {
+            "rrn": F.filter(m("rrn"), _resident), "rrn_closed": F.filter(m("rrn_closed"), _resident), "tel": spans.unclaimed_of("tel", "phone", "spoken"),
+            "abroad": F.filter(m("abroad"), lambda s: F.length(F.regexp_replace(_v(s), r"\P{Nd}", "")).between(8, 15)), "spoken_email": spans.unclaimed_of("spoken_email", "email"),
+            "card": F.filter(m("card"), lambda s: checks.luhn(_num(s))), "account": F.filter(m("account"), _account_ok), "corpno": F.filter(m("corpno"), lambda s: checks.corporate_check(_num(s)) & ~_resident(s)),
+            "lot": spans.unclaimed_of("lot", "address"), "residence": F.filter(m("residence"), _home_ok), "date": F.filter(m("date"), real_date), "service": _trimmed(m("service")), "label": _trimmed(m("label")),
+            "project": F.filter(m("project"), lambda s: _v(s).rlike(D)),
+        },
+        {
+            "abroad": spans.unclaimed_of("abroad", "phone", "spoken", "tel"), "plain_email": spans.unclaimed_of("plain_email", "email", "spoken_email"),
+            "road": spans.unclaimed_of("road", "address", "lot"), "label": spans.unclaimed_of("label", "service"), "shape": spans.unclaimed_of("shape", "project"),
+        },
+        {"extension": spans.unclaimed_of("extension", "phone", "spoken", "tel", "abroad"), "residence": spans.unclaimed_of("residence", "address", "lot", "road")},
+        {"room": spans.unclaimed_of("room", "address", "lot", "road", "residence")},
+    ]
+
+
+def _labelled(name: str) -> Column:
+    """The candidates of a pattern with category, grade and note."""
+    kind = lambda s: F.when(checks.foreign_shape(_num(s)), "foreign_id").otherwise("rrn")
+    note = lambda s: F.when(checks.foreign_shape(_num(s)), "외국인등록번호 형태").when(checks.resident_check(_num(s)), "체크섬 통과").otherwise("체크섬 불일치(2020.10 이후 발급분 가능)")
+    sure_if = lambda check: lambda s: F.when(check(_num(s)), CERTAIN).otherwise(LIKELY)
+    how = {
+        "rrn": (kind, CERTAIN, note), "rrn_closed": (kind, sure_if(checks.resident_check), note), "phone": ("phone",), "spoken": ("phone", CERTAIN, "한글로 풀어 쓴 번호"), "tel": ("tel",),
+        "abroad": ("tel", CERTAIN, "해외 번호"), "extension": ("tel", CERTAIN, "내선"), "email": ("email",), "spoken_email": ("email", CERTAIN, "말로 풀어 쓴 전자우편"), "plain_email": ("email", CERTAIN, "말로 풀어 쓴 전자우편"),
+        "card": ("card", CERTAIN, "Luhn 통과"), "account": ("account", CERTAIN, "계좌 문맥어 동반"), "bizno": ("bizno", sure_if(checks.business_check), lambda s: F.when(checks.business_check(_num(s)), "체크섬 통과").otherwise("체크섬 불일치")),
+        "corpno": ("corpno", CERTAIN, "체크섬 통과"), "passport": ("passport", lambda s: F.when(F.col("_ctx").rlike(CONTEXT["passport"]), CERTAIN).otherwise(LIKELY)), "driver": ("driver",), "vehicle": ("vehicle",),
+        "address": ("address",), "lot": ("address",), "road": ("address",), "residence": ("address", LIKELY, "공동주택 이름"), "room": ("address", LIKELY, "건물·호실"), "date": ("birth", CERTAIN, "생년월일 문맥어 동반"),
+        "service": ("handle", CERTAIN, "서비스 이름 동반"), "label": ("handle", LIKELY, "계정 이름표"), "project": ("project_no", CERTAIN, "번호 이름표 동반"), "shape": ("project_no", CERTAIN, "과제번호 체계"),
+        "number": ("handle", CERTAIN, "사번·학번 이름표"),
+    }
+    if all(isinstance(x, str) for x in how[name]):
+        category, grade, note = (*how[name], CERTAIN, "")[:3] if len(how[name]) < 2 else (*how[name], "")[:3]
+        return F.expr(f"cast(transform({name}, s -> named_struct('start_pos', s.start_pos, 'end_pos', s.end_pos, 'category', '{category}', 'grade', '{grade}', 'note', '{note}')) as {CANDIDATE})")
+    return _as(F.col(name), *how[name])
 
 
 def editable(pieces: Column, start: Column, end: Column) -> Column:
@@ -195,12 +196,21 @@ def candidates(segments: DataFrame, text: str = "text", header: Column | None =
 
     ``as_of`` is the last date that can be a birth date; it is a parameter so that a run can be repeated.
     """
-    t = spans.clean(F.col(text))
-    ctx = context(F.col(text), header)
-    every = F.concat(*(f(t, ctx, as_of) for name, f in DETECTORS.items() if only is None or name in only))
+    used = [n for d, names in DETECTORS.items() if only is None or d in only for n in names]
+    own = F.struct(*(F.col(c) for c in segments.columns)).alias("_own")
+    held = pieces if pieces is not None else F.lit(None).cast("array<struct<start_pos:int,length:int,editable:boolean,soft:boolean>>")
+    df = segments.select(own, F.coalesce(spans.clean(F.col(text)), F.lit("")).alias("_t"), F.coalesce(context(F.col(text), header), F.lit("")).alias("_ctx"), held.alias("_pieces"))
+    df = df.withColumns({n: F.col(c).rlike(p) for n, (c, p) in GATES.items() if any(PATTERNS[u][2] == n for u in used)})
+    df = df.withColumns({n: F.when(_gate(PATTERNS[n][2]), spans.marked(F.col("_t"), *PATTERNS[n][:2])) for n in used})
+    df = df.withColumns({n: spans.offsets_of(n) for n in used})
+    for step in _steps(as_of):
+        here = {n: c for n, c in step.items() if n in used}
+        if here:
+            df = df.withColumns(here)
+    every = F.concat(*(_labelled(n) for n in used)) if used else _none()
     if pieces is not None:
-        every = F.filter(every, lambda c: editable(pieces, c["start_pos"], c["end_pos"]))
-    return segments.withColumn("candidates", F.coalesce(every, _none()))
+        every = F.filter(every, lambda c: editable(F.col("_pieces"), c["start_pos"], c["end_pos"]))
+    return df.select("_own.*", F.coalesce(every, _none()).alias("candidates"))
 
 
 def exploded(found: DataFrame, *keys: str, text: str = "text") -> DataFrame:

@@ -17,10 +17,17 @@ def clean(text: Column) -> Column:
     return F.translate(text, OPEN + CLOSE, "")
 
 
-def matches(text: Column, pattern: str, group: bool = False) -> Column:
-    """Array of (start_pos, end_pos), in order. With ``group`` the pattern has two groups, what leads and the value."""
-    marked = F.regexp_replace(text, F.lit(pattern), F.lit(f"$1{OPEN}$2{CLOSE}" if group else f"{OPEN}$0{CLOSE}"))
-    parts = F.split(marked, f"[{OPEN}{CLOSE}]", -1)
+def marked(text: Column, pattern: str, group: bool = False) -> Column:
+    """The text with every match between the markers. With ``group`` the pattern has two groups, what leads and the value."""
+    return F.regexp_replace(text, F.lit(pattern), F.lit(f"$1{OPEN}$2{CLOSE}" if group else f"{OPEN}$0{CLOSE}"))
+
+
+def offsets(marks: Column) -> Column:
+    """Array of (start_pos, end_pos), in order, from a marked text; null gives none.
+
+    Give it a column, not an expression: the text is looked at twice.
+    """
+    parts = F.split(marks, f"[{OPEN}{CLOSE}]", -1)
     none = F.array().cast(SPAN)
     zero = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("inside"), none.alias("out"))
 
@@ -29,7 +36,25 @@ def matches(text: Column, pattern: str, group: bool = False) -> Column:
         span = F.array(F.struct(acc["pos"].alias("start_pos"), to.alias("end_pos")))
         return F.struct(to.alias("pos"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(F.instr(marked, OPEN) > 0, F.aggregate(parts, zero, step, lambda acc: acc["out"])).otherwise(none)
+    return F.when(F.instr(marks, OPEN) > 0, F.aggregate(parts, zero, step, lambda acc: acc["out"])).otherwise(none)
+
+
+def offsets_of(name: str) -> Column:
+    """:func:`offsets` of a column, as one parsed expression; a plan with many patterns is built much faster so."""
+    none = f"cast(array() as {SPAN})"
+    span = "array(named_struct('start_pos', acc.pos, 'end_pos', acc.pos + length(part)))"
+    step = f"named_struct('pos', acc.pos + length(part), 'inside', not acc.inside, 'out', if(acc.inside, concat(acc.out, {span}), acc.out))"
+    return F.expr(f"if(instr({name}, '\\u0001') > 0, aggregate(split({name}, '[\\u0001\\u0002]', -1), named_struct('pos', 0, 'inside', false, 'out', {none}), (acc, part) -> {step}, acc -> acc.out), {none})")
+
+
+def unclaimed_of(name: str, *taken: str) -> Column:
+    """:func:`unclaimed` of a column against others, as one parsed expression."""
+    return F.expr(f"filter({name}, c -> not exists(concat({', '.join(taken)}), t -> c.start_pos < t.end_pos and t.start_pos < c.end_pos))")
+
+
+def matches(text: Column, pattern: str, group: bool = False) -> Column:
+    """Array of (start_pos, end_pos), in order."""
+    return offsets(marked(text, pattern, group))
 
 
 def value(text: Column, span: Column) -> Column:

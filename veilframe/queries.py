@@ -31,9 +31,14 @@ def p5_found(spark, sf_dir):
 
 
 def _segments(spark, sf_dir):
-    """Every segment once: a repeated row differs by loaded_at alone."""
+    """Every segment once: a repeated row differs by loaded_at alone.
+
+    The shuffle that removes repeats has a set number of partitions, so that a plan which works hard on few bytes is
+    not coalesced into a few tasks after it.
+    """
     c = ["seg_key", "doc_id", "seg_id", "ord", "part", "kind", "text", "table_ctx", "pieces"]
-    return table(spark, sf_dir, "segments").select(*c).dropDuplicates(["seg_key"])
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table(spark, sf_dir, "segments").select(*c).repartition(n, "seg_key").dropDuplicates(["seg_key"])
 
 
 def _findings(spark, sf_dir):
