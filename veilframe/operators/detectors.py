@@ -210,7 +210,9 @@ def candidates(segments: DataFrame, text: str = "text", header: Column | None =
     every = F.concat(*(_labelled(n) for n in used)) if used else _none()
     if pieces is not None:
         every = F.filter(every, lambda c: editable(F.col("_pieces"), c["start_pos"], c["end_pos"]))
-    return df.select("_own.*", F.coalesce(every, _none()).alias("candidates"))
+    # rand() is never negative. It only keeps the optimizer from copying all of the above into filters on the result
+    # (an explode implies one), where it would run a second time.
+    return df.select("_own.*", F.when(F.rand(0) >= 0, F.coalesce(every, _none())).alias("candidates"))
 
 
 def exploded(found: DataFrame, *keys: str, text: str = "text") -> DataFrame:

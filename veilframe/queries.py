@@ -38,7 +38,7 @@ def _segments(spark, sf_dir):
     """
     c = ["seg_key", "doc_id", "seg_id", "ord", "part", "kind", "text", "table_ctx", "pieces"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return table(spark, sf_dir, "segments").select(*c).repartition(n, "seg_key").dropDuplicates(["seg_key"])
+    return table(spark, sf_dir, "segments").select(*c).repartition(n, "seg_key").distinct()
 
 
 def _findings(spark, sf_dir):
