@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import checks
 from veilframe.functions.lexicon import HEADER_CATEGORY
-from veilframe.operators import audit, detectors, intervals, mapping, merge, nested, rewrite, structure
+from veilframe.operators import audit, detectors, intervals, mapping, mentions, merge, nested, rewrite, structure
 from veilframe.session import ensure_checkpoint_dir, table
 from veilframe.sources import text
 
@@ -195,6 +195,31 @@ def l3_organisations(spark, sf_dir):
     return out.select("seg_key", "o.start_pos", "o.end_pos", F.substring("text", F.col("o.start_pos") + 1, F.col("o.end_pos") - F.col("o.start_pos")).alias("value"))
 
 
+def l2_labels(spark, sf_dir):
+    return mentions.harvested_labels(_segments(spark, sf_dir)).distinct()
+
+
+def l3_people(spark, sf_dir):
+    """Names after labels, payee marks and honorifics."""
+    out = mentions.people(_segments(spark, sf_dir)).select("seg_key", "text", F.explode("people").alias("o"))
+    return out.select("seg_key", "o.start_pos", "o.end_pos", F.substring("text", F.col("o.start_pos") + 1, F.col("o.end_pos") - F.col("o.start_pos")).alias("value"))
+
+
+def l3_organisation_shapes(spark, sf_dir):
+    out = mentions.organisations_by_shape(_segments(spark, sf_dir)).select("seg_key", "text", F.explode("orgs").alias("o"))
+    return out.select("seg_key", "o.start_pos", "o.end_pos", F.substring("text", F.col("o.start_pos") + 1, F.col("o.end_pos") - F.col("o.start_pos")).alias("value"))
+
+
+def l3_short_universities(spark, sf_dir):
+    return mentions.short_universities(_segments(spark, sf_dir))
+
+
+def swp_spaced(spark, sf_dir):
+    """People of the mapping, wherever a segment spells them with gaps."""
+    people = _mapping(spark, sf_dir).filter("category = 'person'").select("original")
+    return mentions.spaced(people, _segments(spark, sf_dir), "seg_key", "original")
+
+
 def _plans(spark, sf_dir):
     f = _findings(spark, sf_dir).filter("category is not null and start_pos is not null and end_pos > start_pos and trim(text) <> ''").withColumn("map_key", checks.mapping_key(F.col("text")))
     return rewrite.planned(f, psn_issue(spark, sf_dir))
@@ -269,7 +294,7 @@ def flagship(spark, sf_dir):
 _OWN = (
     p1_found, p1_tables, p1_variants, p5_found, l1_email_values, src_lines, src_markdown_cells, src_grid, src_chunks, val_resident, val_business, val_luhn,
     sc_mapping_key, sc_context_text, psn_tag, psn_issue, psn_continue, mrg_findings, mrg_allow_list, rul_deny_list, l2_header_category, l2_harvest, l2_registry,
-    l2_row_attributes, l2_propagate, l3_unique_surnames, l3_surname_mentions, l3_references, l3_organisations, pln_apply, pln_mask, rst_restore, ver_leaks,
+    l2_row_attributes, l2_propagate, l3_unique_surnames, l3_surname_mentions, l3_references, l3_organisations, l2_labels, l3_people, l3_organisation_shapes, l3_short_universities, swp_spaced, pln_apply, pln_mask, rst_restore, ver_leaks,
     ver_verdict, ver_context_risk, grd_documents, grd_run, rpt_by_category, rpt_masked, rpt_samples, flagship,
 )
 QUERIES = {f.__name__: f for f in (*_OWN, *map(_detector_query, detectors.DETECTORS))}
