@@ -1,5 +1,7 @@
 """Pseudonyms, rewriting, auditing, structure and sources on small rows."""
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from veilframe.functions import checks
@@ -69,6 +71,14 @@ def test_leaks_and_verdict(spark):
     assert [r.doc_id for r in audit.published(docs, v).collect()] == ["c"]
 
 
+def test_leaks_in_other_spellings(spark):
+    nfd = lambda s: unicodedata.normalize("NFD", s)
+    texts = [(1, "원 영 해 참석"), (2, nfd("담당 원영해")), (3, "원영희 해"), (4, "한·국 화\u00a0학 소재"), (5, "J a n e  D o e"), (6, "JaneDoe"), (7, "a.b\\\\E c 와 a1b 5"), (8, nfd("원 영 해")), (9, None), (10, "원영해"), (11, "이 상 없음"), (12, "12 3가"), (13, "화학 소재")]
+    orig = [("원영해",), ("한국화학",), ("Jane Doe",), ("a.b\\\\Ec",), (nfd("화학"),), ("이상",), ("123가",), (None,)]
+    got = {tuple(r) for r in audit.leaks(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(orig, "original string"), "id", "text").collect()}
+    assert got == {(1, "원영해"), (2, "원영해"), (4, "한국화학"), (5, "Jane Doe"), (7, "a.b\\\\Ec"), (8, "원영해"), (10, "원영해"), (13, nfd("화학"))}
+
+
 def test_guard_keeps_unchecked(spark):
     docs = spark.createDataFrame([("a", None), ("b", "unreadable"), ("c", None)], "doc_id string, error string")
     found = spark.createDataFrame([("a", "org"), ("a", "rrn")], "doc_id string, category string")

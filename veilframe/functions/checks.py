@@ -63,7 +63,7 @@ def birth_date(year: Column, month: Column, day: Column, as_of: str) -> Column:
     return F.coalesce(made.between(F.lit("1900-01-01").cast("date"), F.lit(as_of).cast("date")), F.lit(False))
 
 
-def _form(kind: str):
+def form(kind: str):
     @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: unicodedata.normalize(kind, x), na_action="ignore")
@@ -74,7 +74,7 @@ def _form(kind: str):
 def normal_key(text: Column) -> Column:
     """NFC, without zero-width spaces and byte order marks, white space collapsed and trimmed. ASCII stays in the JVM."""
     ascii_only = text.rlike(r"^[\x00-\x7f가-힣]*$")
-    nfc = F.when(ascii_only, text).otherwise(_form("NFC")(text))
+    nfc = F.when(ascii_only, text).otherwise(form("NFC")(text))
     return F.trim(F.regexp_replace(F.translate(nfc, "​﻿", ""), r"(?U)\s+", " "))
 
 
