@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilframe.llm import pii
+from veilframe.llm.queries import QUERIES
 
 
 def values(text, header="", recorded=""):
@@ -73,3 +74,13 @@ def test_frames(spark):
     out = {r.id: r.text2 for r in pii.placeholders(df, "text", "text2").collect()}
     assert out[1] is None and out[2] == "" and out[4] == "[PERSON] 위원"
     assert pii.detect(df, "id", "text", recorded=F.col("category")).count() == 3
+
+
+def test_recorded_category_and_both_tables(spark, tmp_path):
+    weak = "정리한"  # a name only if somebody recorded it as one
+    df = spark.createDataFrame([(1, weak, "PERSON"), (2, weak, None), (3, None, "person")], "id long, text string, category string")
+    assert {r.id: r.out for r in pii.placeholders(df, "text", "out", recorded=F.col("category")).collect()} == {1: "[PERSON]", 2: weak, 3: None}
+    spark.createDataFrame([(1, "김솔지 위원", None), (1, "김솔지 위원", None)], "seg_key long, text string, table_ctx struct<header_text:string>").write.parquet(f"{tmp_path}/segments.parquet")
+    spark.createDataFrame([(1, weak, "person"), (1, weak, "person"), (2, None, None)], "finding_id long, text string, category string").write.parquet(f"{tmp_path}/findings.parquet")
+    got = sorted(map(tuple, QUERIES["p2_redacted"](spark, str(tmp_path)).collect()))
+    assert got == [("findings", 1, "[PERSON]"), ("findings", 2, None), ("segments", 1, "[PERSON] 위원")]

@@ -21,6 +21,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -309,11 +310,12 @@ def detect(rows: DataFrame, id_col: str, text_col: str, header: Column | None =
     return src.filter(F.length("text") > 0).mapInArrow(run, "row_id long, category string, start_pos int, end_pos int")
 
 
-def placeholders(rows: DataFrame, text_col: str, into: str, header: Column | None = None) -> DataFrame:
+def placeholders(rows: DataFrame, text_col: str, into: str, header: Column | None = None, recorded: Column | None = None) -> DataFrame:
     """``rows`` with a column ``into``: the text with typed placeholders; null stays null."""
 
     @F.pandas_udf("string")
-    def run(texts, headers):
-        return texts.combine(headers, lambda t, h: redact(t, find(t, h)) if t else t)
+    def run(texts: pd.Series, headers: pd.Series, marks: pd.Series) -> pd.Series:
+        return pd.Series([redact(t, find(t, h, m)) if t else t for t, h, m in zip(texts, headers, marks, strict=True)], dtype=object)
 
-    return rows.withColumn(into, run(F.col(text_col), F.lit("") if header is None else F.coalesce(header, F.lit(""))))
+    none = F.lit("")
+    return rows.withColumn(into, run(F.col(text_col), none if header is None else F.coalesce(header, none), none if recorded is None else F.coalesce(recorded, none)))

@@ -18,9 +18,11 @@ def p2_found(spark, sf_dir):
 
 
 def p2_redacted(spark, sf_dir):
-    """Every segment's text with typed placeholders, once."""
-    segments = table(spark, sf_dir, "segments").select("seg_key", "text", F.col("table_ctx.header_text").alias("header"))
-    return pii.placeholders(segments, "text", "redacted", F.col("header")).select("seg_key", "redacted").distinct()
+    """Every text of segments and of findings (with its recorded category) with typed placeholders, once."""
+    none = F.lit("")
+    a = table(spark, sf_dir, "segments").select(F.lit("segments").alias("table_name"), F.col("seg_key").alias("row_id"), "text", F.col("table_ctx.header_text").alias("header"), none.alias("recorded"))
+    b = table(spark, sf_dir, "findings").select(F.lit("findings").alias("table_name"), F.col("finding_id").alias("row_id"), "text", none.alias("header"), F.col("category").alias("recorded"))
+    return pii.placeholders(a.unionByName(b), "text", "redacted", F.col("header"), F.col("recorded")).select("table_name", "row_id", "redacted").distinct()
 
 
 def _linked(spark, sf_dir):
