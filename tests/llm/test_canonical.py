@@ -3,6 +3,7 @@ import unicodedata
 
 from veilframe.llm import canonical
 from veilframe.llm.lookalike import decomposed
+from veilframe.llm.queries import QUERIES
 
 
 def brute(s):
@@ -38,3 +39,11 @@ def test_form_against_brute_force(spark):
     for i, t in enumerate(texts):
         assert out[i] == (None if t is None else brute(t)), (t, out[i])
     assert all(brute(brute(t)) == brute(t) for t in texts if t is not None)
+
+
+def test_both_tables(spark, tmp_path):
+    spark.createDataFrame([(i, s) for i, s in enumerate(SAME)] + [(0, SAME[0]), (90, None), (91, "")], "seg_key long, text string").write.parquet(f"{tmp_path}/segments.parquet")
+    spark.createDataFrame([(0, "person", SAME[2]), (1, None, SAME[3])], "rec_id long, category string, map_key string").write.parquet(f"{tmp_path}/mapping.parquet")
+    got = [tuple(r) for r in QUERIES["p4_canonical"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(SAME) + 4
+    assert set(got) == {("segments", i, None, SAME[0]) for i in range(len(SAME))} | {("segments", 90, None, None), ("segments", 91, None, ""), ("mapping", 0, "person", SAME[0]), ("mapping", 1, None, SAME[0])}

@@ -48,9 +48,10 @@ def p4_found(spark, sf_dir):
 
 
 def p4_canonical(spark, sf_dir):
-    """Every mapping entry with its key in the one form."""
-    rows = table(spark, sf_dir, "mapping").select("rec_id", "category", "map_key")
-    return canonical.canonical(rows, "map_key", "form").select("rec_id", "category", "form").distinct()
+    """Every segment's text, and every mapping entry's key with its category, in the one form."""
+    a = table(spark, sf_dir, "segments").select(F.lit("segments").alias("table_name"), F.col("seg_key").alias("row_id"), F.lit(None).cast("string").alias("category"), F.col("text").alias("value"))
+    b = table(spark, sf_dir, "mapping").select(F.lit("mapping").alias("table_name"), F.col("rec_id").alias("row_id"), "category", F.col("map_key").alias("value"))
+    return canonical.canonical(a.unionByName(b), "value", "form").select("table_name", "row_id", "category", "form").distinct()
 
 
 def _packed(spark, sf_dir):
