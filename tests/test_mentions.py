@@ -14,3 +14,10 @@ def test_mentions(spark):
     assert [(r.seg_id, r.stem) for r in mentions.short_universities(s).collect()] == [("7", "누리")]
     values = spark.createDataFrame([("홍길동",), ("김철수",), ("이",), (None,)], "original string")
     assert {tuple(r) for r in mentions.spaced(values, s, "seg_id", "original").collect()} == {("8", "홍길동"), ("8", "김철수")}
+
+
+def test_latin_names(spark):
+    rows = ["회의에 Josephine Caliskov 위원이 왔다", "Alexander Torundberg 책임연구원님께서", "박사과정 Elena Marsh-Kent 발표", "마이클 첸(Michael Chen) 박사", "연구센터 (Data Science) 교수", "Jane Doe 시장 조사", "Jane Doe 위원회", "From: Jane Doe 교수", "Jane D. 교수", "From: Data Science", "발표(Jane Doe) 자료", None]
+    s = spark.createDataFrame(list(enumerate(rows)), "id int, text string")
+    got = {r.id: [r.text[x.start_pos : x.end_pos] for x in r.people] for r in mentions.people(s).collect() if r.text}
+    assert got == {0: ["Josephine Caliskov"], 1: ["Alexander Torundberg"], 2: ["Elena Marsh-Kent"], 3: ["마이클 첸", "Michael Chen"], 4: [], 5: [], 6: [], 7: ["Jane Doe"], 8: ["Jane D"], 9: [], 10: []}

@@ -26,6 +26,9 @@ COMPANY_CUES = "스타트업 벤처기업 벤처 기업 회사 업체 법인 자
 # Particles that may follow a name.
 PARTICLES = "은 는 이 가 을 를 와 과 의 도 만 께 에게 에게서 한테 부터 까지 으로 로 이며 이고 이다 입니다 이라 라고 님 씨 등 및 외 께서 에서 에 이나 랑 이랑 처럼 보다"
 TITLES = "교수 부교수 조교수 박사 석사 연구원 책임연구원 선임연구원 수석연구원 연구위원 위원장 위원 부장 차장 과장 팀장 실장 본부장 센터장 소장 원장 총장 학장 대표 이사 사장 회장 국장 처장 관장 감사 주무관 사무관 서기관 선생 선생님 박사님 교수님 책임 선임 수석 단장 부단장 부원장 부소장 부총장 부회장 부사장 이사장 대표이사 전무 상무 고문 지점장 그룹장 파트장 사무국장 연구관 연구사 장관 차관 의원 시장 군수 구청장 지사 간사 대리 주임 조교 강사 변호사 기자 명예교수 석좌교수 연구교수 겸임교수 초빙교수 학생 사원"
+# Titles that often stand for something else than a person, and roles that stand before a name.
+WEAK_TITLES = "시장 지사 의원 감사 이사 대리 주임 고문 간사 강사 기자 책임 선임 수석 군수 석사"
+ROLES = "박사후연구원 연구보조원 학생연구원 위촉연구원 석사과정 박사과정 통합과정 학부연구생 학부생 대학원생 석사과정생 박사과정생 인턴 연구생 수련생"
 # Labels in running text after which a person's name stands.
 PERSON_LABELS = "참석자 참석 불참자 불참 배석자 배석 발표자 발표 토론자 토론 사회자 사회 기록자 기록 검토자 작성자 면접자 면담자 응답자 보낸사람 받는사람 발신자 발신 수신자 예금주 담당자 담당 문의 연락 협조자 기안자 기안 결재 확인자 작성"
 SURNAMES = "김이박최정강조윤장임한오서신권황안송류유홍전고문손양배백허남심노하곽성차주우구민진지엄채원천방공현함변염여추도소석선설마길위표명기반왕금옥육인맹제탁국빈동온사시경부계봉나라연모용은어예편복가태목두피감음좌간범승팽갈견단상옹"
