@@ -1,4 +1,5 @@
 from veilframe.operators import mentions
+from veilframe.queries import QUERIES
 
 
 def test_mentions(spark):
@@ -21,3 +22,17 @@ def test_latin_names(spark):
     s = spark.createDataFrame(list(enumerate(rows)), "id int, text string")
     got = {r.id: [r.text[x.start_pos : x.end_pos] for x in r.people] for r in mentions.people(s).collect() if r.text}
     assert got == {0: ["Josephine Caliskov"], 1: ["Alexander Torundberg"], 2: ["Elena Marsh-Kent"], 3: ["마이클 첸", "Michael Chen"], 4: [], 5: [], 6: [], 7: ["Jane Doe"], 8: ["Jane D"], 9: [], 10: []}
+
+
+def test_registry_holds_labelled_names(spark, tmp_path):
+    cell = ("t", 1, 0, 1, 1, "성명", "col", False)
+    rows = [(1, "d", "s1", 1, "담당자: 최하나", None), (2, "d", "s2", 2, "최하나는 최 과장", None), (3, "d", "s3", 3, "김두리", cell), (4, "d", "s4", 4, "김 부장", None), (5, "d", "s5", 5, "작성자: 김세나", None), (6, "d", "s6", 6, "소속: [기관A], 부서: 가나", None)]
+    ctx = "struct<table_id:string,row_no:int,col_no:int,row_span:int,col_span:int,header_text:string,header_axis:string,is_header:boolean>"
+    pieces = "array<struct<node:string,slot:string,start_pos:int,length:int,editable:boolean,soft:boolean,node_offset:int>>"
+    df = spark.createDataFrame([(*r[:4], "p", "k", *r[4:], None) for r in rows], f"seg_key long, doc_id string, seg_id string, ord int, part string, kind string, text string, table_ctx {ctx}, pieces {pieces}")
+    df.write.parquet(f"{tmp_path}/segments.parquet")
+    got = lambda q: {tuple(r) for r in QUERIES[q](spark, str(tmp_path)).collect()}
+    assert got("l2_registry") == {("d", "person", "최하나", 1), ("d", "person", "김두리", 2), ("d", "person", "김세나", 3)}
+    assert ("d", "s2", "person", "최하나", 0, 3) in got("l2_propagate")
+    assert got("l3_unique_surnames") == {("d", "최", "최하나")}
+    assert got("l3_surname_mentions") == {("d", "s2", "최 과장", "최", "최하나"), ("d", "s4", "김 부장", "김", None)}

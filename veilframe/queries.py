@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilframe.functions import checks
-from veilframe.functions.lexicon import HEADER_CATEGORY
+from veilframe.functions.lexicon import HEADER_CATEGORY, PSEUDONYM
 from veilframe.operators import audit, detectors, intervals, mapping, mentions, merge, nested, rewrite, structure
 from veilframe.session import ensure_checkpoint_dir, table
 from veilframe.sources import text
@@ -162,8 +162,14 @@ def l2_harvest(spark, sf_dir):
     return structure.harvested(_segments(spark, sf_dir)).select("doc_id", "seg_id", "category", "value").distinct()
 
 
+def _names(segments):
+    """Names in cells and after labels: what a document's registry holds. After a label, no pseudonym and no department of under three characters."""
+    labelled = mentions.harvested_labels(segments, "part", "ord").filter(~F.col("value").rlike(PSEUDONYM) & ((F.col("category") == "person") | (F.length("value") >= 3)))
+    return structure.harvested(segments).unionByName(labelled)
+
+
 def l2_registry(spark, sf_dir):
-    return structure.registered(structure.harvested(_segments(spark, sf_dir)))
+    return structure.registered(_names(_segments(spark, sf_dir)))
 
 
 def l2_row_attributes(spark, sf_dir):
@@ -173,16 +179,16 @@ def l2_row_attributes(spark, sf_dir):
 
 def l2_propagate(spark, sf_dir):
     s = _segments(spark, sf_dir)
-    return structure.propagated(s, structure.harvested(s))
+    return structure.propagated(s, _names(s))
 
 
 def l3_unique_surnames(spark, sf_dir):
-    return structure.unique_surnames(structure.harvested(_segments(spark, sf_dir)))
+    return structure.unique_surnames(_names(_segments(spark, sf_dir)))
 
 
 def l3_surname_mentions(spark, sf_dir):
     s = _segments(spark, sf_dir)
-    return structure.surname_mentions(s, structure.harvested(s))
+    return structure.surname_mentions(s, _names(s))
 
 
 def l3_references(spark, sf_dir):
