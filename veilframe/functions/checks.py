@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 
 def digits(text: Column) -> Column:
-    """The ASCII digits of a text."""
-    return F.regexp_replace(text, "[^0-9]", "")
+    """The digits of a text, wide and circled ones as plain ones (NFKC); ASCII and Hangul stay in the JVM."""
+    return F.regexp_replace(F.when(text.rlike(r"^[\x00-\x7f가-힣]*$"), text).otherwise(form("NFKC")(text)), "[^0-9]", "")
 
 
 def _weighted(d: Column, weights: list[int]) -> Column:
@@ -85,13 +85,12 @@ def mapping_key(text: Column) -> Column:
 
 
 def alpha_tag(index: Column) -> Column:
-    """0 -> A, 25 -> Z, 26 -> AA: base 26 without a zero, up to five letters."""
-    n, out = index.cast("long") + 1, F.lit("")
-    for _ in range(5):
-        r = F.pmod(n - 1, F.lit(26))
-        out = F.when(n > 0, F.concat(F.char(F.lit(65) + r), out)).otherwise(out)
-        n = F.when(n > 0, ((n - 1 - r) / 26).cast("long")).otherwise(n)
-    return out
+    """0 -> A, 25 -> Z, 26 -> AA: base 26 without a zero, for every bigint from 0 up; null gives null."""
+    zero = F.struct((index.cast("long") + 1).alias("n"), F.lit("").alias("out"))
+    # Fourteen letters hold every bigint. The state is carried from step to step, so no expression is nested.
+    letter = lambda a: F.char(F.lit(65) + F.pmod(a["n"] - 1, F.lit(26)))
+    step = lambda a, _: F.when(a["n"] > 0, F.struct(F.call_function("div", a["n"] - 1, F.lit(26)).alias("n"), F.concat(letter(a), a["out"]).alias("out"))).otherwise(a)
+    return F.when(index.isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(14)), zero, step, lambda a: a["out"]))
 
 
 def masked(text: Column, category: Column) -> Column:

@@ -14,13 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoint(): the one the cluster names, else (tests, a laptop) a new local one."""
+    """The folder for checkpoint(): the one already set, else the one that ``spark.checkpoint.dir`` names.
+
+    Only a local master, whose executors share this machine, gets a folder of its own where none is named.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = os.path.join(tempfile.mkdtemp(prefix="veilframe-"), "checkpoints")
     sc.setCheckpointDir(named)
     return named
