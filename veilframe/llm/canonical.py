@@ -19,11 +19,12 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.llm.lookalike import combining, mapping
+from veilframe.session import ensure_checkpoint_dir
 
 #: A text that matches may differ from its form.
 MAY_CHANGE = r"[^\x00-\x7f가-힣]"
@@ -37,22 +38,43 @@ def table_of_signs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "sign string, parts array<struct<k:int,ch:string,ccc:int>>")
 
 
+def rebuilt(signs: list[str], classes: list[int]) -> str:
+    """The string of signs, each run of combining marks put in the order of their class (equal classes keep their order), recomposed."""
+    out, run = [], []
+    for ch, ccc in zip(signs, classes, strict=True):
+        if ccc:
+            run.append((ccc, ch))
+            continue
+        if run:
+            out += [c for _, c in sorted(run, key=lambda x: x[0])]
+            run = []
+        out.append(ch)
+    out += [c for _, c in sorted(run, key=lambda x: x[0])]
+    return unicodedata.normalize("NFC", "".join(out))
+
+
 @F.pandas_udf(T.StringType())
-def _recompose(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+def _rebuild(signs: pd.Series, classes: pd.Series) -> pd.Series:
+    return pd.Series([rebuilt(list(a), list(b)) for a, b in zip(signs, classes, strict=True)], dtype=object)
 
 
 def forms(texts: DataFrame, text_col: str) -> DataFrame:
-    """Rows (key, form) for the distinct texts that may change; key is the MD5 of the text."""
-    odd = texts.select(F.col(text_col).alias("t")).filter(F.col("t").rlike(MAY_CHANGE)).distinct()
-    points = odd.select(F.unhex(F.md5("t")).alias("key"), F.posexplode(F.regexp_extract_all("t", F.lit("(?s)."), F.lit(0))).alias("pos", "sign"))
+    """Rows (key, form) for the distinct texts that may change; key is the MD5 of the text.
+
+    The texts are partitioned by their key once; exploding, the broadcast join and putting together again keep that
+    partitioning, so code points are never shuffled.
+    """
+    odd = texts.select(F.col(text_col).alias("t")).filter(F.col("t").rlike(MAY_CHANGE)).select(F.unhex(F.md5("t")).alias("key"), "t")
+    # A set number of partitions: few bytes of text become many code points, too many for a few coalesced tasks.
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    odd = odd.repartition(n, "key").groupBy("key").agg(F.max("t").alias("t"))
+    points = odd.select("key", F.posexplode(F.regexp_extract_all("t", F.lit("(?s)."), F.lit(0))).alias("pos", "sign"))
     signs = F.broadcast(table_of_signs(texts.sparkSession))
     itself = F.array(F.struct(F.lit(0).alias("k"), F.col("sign").alias("ch"), F.lit(0).alias("ccc")))
-    parts = points.join(signs, "sign", "left").select("key", "pos", F.explode_outer(F.coalesce("parts", itself)).alias("p")).select("key", "pos", "p.*")
-    run = F.max(F.when(F.coalesce("ccc", F.lit(0)) == 0, F.struct("pos", F.coalesce("k", F.lit(0))))).over(Window.partitionBy("key").orderBy("pos", "k"))
-    placed = parts.withColumn("run", run)
-    joined = placed.groupBy("key").agg(F.array_sort(F.collect_list(F.when(F.col("ch").isNotNull(), F.struct("run", "ccc", "pos", "k", "ch")))).alias("all"))
-    return joined.select("key", _recompose(F.array_join(F.transform("all", lambda x: x["ch"]), "")).alias("form"))
+    parts = points.join(signs, "sign", "left").select("key", "pos", F.coalesce("parts", itself).alias("p"))
+    joined = parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "p"))).alias("all"))
+    flat = F.flatten(F.transform("all", lambda x: x["p"]))
+    return joined.select("key", flat.alias("f")).select("key", _rebuild(F.transform("f", lambda x: x["ch"]), F.transform("f", lambda x: x["ccc"])).alias("form"))
 
 
 def canonical(rows: DataFrame, text_col: str, into: str) -> DataFrame:
@@ -78,7 +100,9 @@ def lookalike_pairs(rows: DataFrame, id_col: str, text_col: str, scope: str | No
     """
     base = rows.select(F.col(id_col).cast("long").alias("id"), (F.lit("") if scope is None else F.coalesce(F.col(scope), F.lit("\0null"))).alias("scope"), F.col(text_col).alias("t")).filter("t is not null")
     odd_rows = base.filter(F.col("t").rlike(MAY_CHANGE)).select("id", "scope", F.unhex(F.md5("t")).alias("key"))
-    odd = odd_rows.join(forms(rows, text_col), "key").select("id", "scope", "form", "key").distinct()
+    ensure_checkpoint_dir(rows.sparkSession)
+    # Everything below reads these rows again.
+    odd = odd_rows.join(forms(rows, text_col), "key").select("id", "scope", "form", "key").distinct().checkpoint()
     wanted = odd.select("scope", "form").distinct()
     plain = base.filter(~F.col("t").rlike(MAY_CHANGE)).join(wanted, (F.col("t") == F.col("form")) & (base["scope"] == wanted["scope"]), "left_semi")
     plain = plain.select("id", "scope", F.col("t").alias("form"), F.lit(None).cast("binary").alias("key")).distinct()

@@ -22,6 +22,12 @@ QUOTES = "“”‟″＂"
 SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>", "<small>", "<vertical>")
 
 
+def spelt_out(ch: str) -> bool:
+    """A sign that is drawn as its letters side by side: ligatures, Roman numerals, letter pairs of the Latin blocks."""
+    name = unicodedata.name(ch, "")
+    return "LIGATURE" in name or "ROMAN NUMERAL" in name or ord(ch) in (*range(0x01C4, 0x01CD), *range(0x01F1, 0x01F4), 0x0132, 0x0133)
+
+
 def invisible(ch: str) -> bool:
     """No mark on the page: formatting characters, soft hyphen, joiners, fillers and variation selectors."""
     cp = ord(ch)
@@ -44,7 +50,7 @@ def decomposed(ch: str) -> str:
         return ch
     parts = how.split()
     if parts[0][0] == "<":
-        if parts[0] not in SAME_LOOK:
+        if parts[0] not in SAME_LOOK and not (parts[0] == "<compat>" and spelt_out(ch)):
             return ch
         parts = parts[1:]
     return "".join(decomposed(chr(int(p, 16))) for p in parts)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilframe.llm import canonical, mixing, names, packing, pii, reading, tokens
+from veilframe.llm import canonical, copies, mixing, names, packing, pii, reading, tokens
 from veilframe.session import ensure_checkpoint_dir, table
 
 
@@ -54,11 +54,13 @@ def p4_canonical(spark, sf_dir):
     return canonical.canonical(a.unionByName(b), "value", "form").select("table_name", "row_id", "category", "form").distinct()
 
 
-def _packed(spark, sf_dir):
+def _packed(spark, sf_dir, one_source=False):
     # pack_sizes is a small table of parameters.
     runs = sorted((r.run_id, r.capacity) for r in table(spark, sf_dir, "pack_sizes").distinct().collect())
     ensure_checkpoint_dir(spark)
-    return packing.pack(tokens.measure(table(spark, sf_dir, "documents")).checkpoint(), runs)
+    documents = table(spark, sf_dir, "documents")
+    items = copies.clustered(tokens.measure(documents, near=True).checkpoint(), documents)
+    return packing.pack(items, runs, one_source)
 
 
 def p6_packed(spark, sf_dir):
@@ -66,6 +68,11 @@ def p6_packed(spark, sf_dir):
     return _packed(spark, sf_dir)
 
 
+def p6_packed_by_source(spark, sf_dir):
+    """The same with the source as a constraint too: a container holds documents of one source only."""
+    return _packed(spark, sf_dir, one_source=True)
+
+
 def p6_usage(spark, sf_dir):
     """How full the containers of each capacity are."""
     return packing.usage(_packed(spark, sf_dir))
@@ -108,6 +115,6 @@ def p8_profile(spark, sf_dir):
     return own.groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.avg("level").alias("mean_level"), F.avg(F.col("demanding").cast("double")).alias("demanding_share"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_entities, p4_found, p4_canonical, p6_packed, p6_usage, p7_selected, p7_shares, p8_found, p8_levels, p8_profile)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_entities, p4_found, p4_canonical, p6_packed, p6_packed_by_source, p6_usage, p7_selected, p7_shares, p8_found, p8_levels, p8_profile)}
 
 ORACLE: dict[str, str] = {}

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.llm import copies
+
 #: Where the public vocabulary files lie on every node; a parameter of the operators.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the split pattern of the public byte-level vocabularies.
@@ -39,8 +41,8 @@ def quality(text: str) -> float:
 _SPACE = re.compile(r"\s+")
 
 
-def measure(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Rows (doc_id, source, n_tokens, quality, copy_key), one per doc_id; no text in them.
+def measure(documents: DataFrame, vocabulary: str = VOCABULARY, near: bool = False) -> DataFrame:
+    """Rows (doc_id, source, n_tokens, quality, copy_key), one per doc_id; no text in them. With ``near`` also bands and sig (:mod:`veilframe.llm.copies`).
 
     ``copy_key`` is equal for texts that are copies but for case and spacing. A null text has 0 tokens and no
     copy_key. A repeated row counts once.
@@ -49,16 +51,18 @@ def measure(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import blake2b
 
-        enc = encoder(vocabulary)
+        enc, seen = encoder(vocabulary), {}
         for batch in batches:
             texts = batch.column(2).to_pylist()
             sizes = [len(enc.encode_ordinary(t)) if t else 0 for t in texts]
             keys = [int.from_bytes(blake2b(_SPACE.sub(" ", t).strip().lower().encode(), digest_size=8).digest(), "big", signed=True) if t else None for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array([quality(t or "") for t in texts], pa.float64()), pa.array(keys, pa.int64())],
-                names=["doc_id", "source", "n_tokens", "quality", "copy_key"],
-            )
+            cols = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array([quality(t or "") for t in texts], pa.float64()), pa.array(keys, pa.int64())]
+            if near:
+                sigs = [copies.signature(copies.shingles(t, seen)) if t else [] for t in texts]
+                cols += [pa.array([copies.bands(x) if len(x) else [] for x in sigs], pa.list_(pa.int64())), pa.array([x.astype("int64").tolist() if len(x) else [] for x in sigs], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
+    names = ["doc_id", "source", "n_tokens", "quality", "copy_key", *(["bands", "sig"] if near else [])]
     src = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    out = src.mapInArrow(run, "doc_id long, source string, n_tokens long, quality double, copy_key long")
-    return out.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in ("source", "n_tokens", "quality", "copy_key")))
+    out = src.mapInArrow(run, "doc_id long, source string, n_tokens long, quality double, copy_key long" + (", bands array<long>, sig array<long>" if near else ""))
+    return out.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in names[1:]))
