@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe.operators import detectors, spans
+from veilframe.operators import detectors, values
 
 CASES = [
     ("rrn", "번호 900101-1234568 끝", "", [("rrn", "900101-1234568")]),
@@ -40,9 +40,28 @@ def test_cases(spark):
 
 
 def test_offsets_are_code_points(spark):
-    t = "😀\x01 a@b.co 가\x02나 c@d.co"
-    (r,) = spark.createDataFrame([(t,), (None,)], "text string").filter("text is not null").select(spans.matches(spans.clean(F.col("text")), detectors.EMAIL).alias("m")).collect()
-    assert [t[x.start_pos : x.end_pos] for x in r.m] == ["a@b.co", "c@d.co"]
+    t = "😀\x01 a@b.co 가\x02나 c@d.co 010-1234-5678"
+    df = spark.createDataFrame([(t,), (None,)], "text string")
+    got = detectors.exploded(detectors.candidates(df)).collect()
+    assert [(r.value, t[r.start_pos : r.end_pos]) for r in got] == [(v, v) for v in ("010-1234-5678", "a@b.co", "c@d.co")]
+
+
+MORE = [
+    ("phone", "+82 10 1234 5678, 82-10-1234-5678, (010) 1234-5678, 01012345678", "", ["+82 10 1234 5678", "82-10-1234-5678", "(010) 1234-5678", "01012345678"]),
+    ("phone", "1010-1234-5678 010-12345-678 010-1234-56789", "", []), ("phone", "031-123-4567 ext. 345 구내 12", "", ["031-123-4567", "345"]),
+    ("phone", "+821012345678 +1 (212) 555 0199", "", ["+821012345678", "+1 (212) 555 0199"]), ("email", "A.B_c+1@mail.x-y.co.kr. z@q", "", ["A.B_c+1@mail.x-y.co.kr"]),
+    ("email", "user (at) host (dot) com / u [at] h.org / 골뱅이 없음", "", ["user (at) host (dot) com", "u [at] h.org"]), ("email", "kim at host dot com and meet at noon.", "", ["kim at host dot com"]),
+    ("card", "4111111111111111, 4111-1111-1111-1111 41111111-11111111", "", ["4111111111111111", "4111-1111-1111-1111", "41111111-11111111"]),
+    ("rrn", "900101–1234568 / 900101 1234568 / ９００１０１-１２３４５６８", "", ["900101–1234568", "９００１０１-１２３４５６８"]), ("bizno", "123-45-67890-1, 110111-0006249", "", ["123-45-67890"]),
+    ("driver", "면허번호 서울 12-345678-90", "", ["서울 12-345678-90"]), ("address", "주소: 세종대로 110, 5층", "", ["세종대로 110, 5층"]), ("address", "전라남도 해남군 송지면 산정리 12-3번지", "", []),
+    ("address", "해남군 송지면 12-3번지 근처, 푸른아파트 101동 202호, 공학관 302호", "", ["해남군 송지면 12-3번지", "푸른아파트 101동 202호", "공학관 302호"]),
+    ("handle", "인스타 @sol_bat1, github: kim-99x. ID: park.01-", "", ["sol_bat1", "kim-99x", "park.01"]), ("project_no", "협약 번호 AB12-345, 2019R1A2C1234567, IITP 2021-0-01234", "", ["AB12-345", "2019R1A2C1234567", "2021-0-01234"]),
+]
+
+
+@pytest.mark.parametrize(("name", "text", "header", "want"), MORE)
+def test_values(name, text, header, want):
+    assert [text[a:b] for a, b, *_ in values.find(text, header, (name,))] == want
 
 
 def test_pieces_hold_back(spark):

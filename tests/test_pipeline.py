@@ -5,7 +5,8 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from veilframe.functions import checks
-from veilframe.operators import audit, mapping, rewrite, structure
+from veilframe.config import Config
+from veilframe.operators import audit, mapping, meet, pipeline, rewrite, structure
 from veilframe.sources import text
 
 
@@ -56,7 +57,7 @@ def test_apply_and_restore(spark):
 def test_contains_pairs(spark):
     texts = [(i, f"글 {i} 홍길동 값{i % 7}") for i in range(50)] + [(99, None), (98, ""), (97, "X")]
     values = ["홍길동", "값3", "없다", "X", "글 4", None, ""]
-    got = {tuple(r) for r in rewrite.contains_pairs(spark.createDataFrame(texts, "id long, t string"), spark.createDataFrame([(v,) for v in values], "v string"), "id", "t", "v").collect()}
+    got = {tuple(r) for r in meet.contains(spark.createDataFrame(texts, "id long, t string"), spark.createDataFrame([(v,) for v in values], "v string"), "id", "t", "v", 1).collect()}
     assert got == {(i, v) for i, t in texts for v in values if t and v and v in t}
 
 
@@ -96,10 +97,6 @@ def test_structure(spark):
     names = structure.harvested(s)
     assert {(r.category, r.value) for r in names.collect()} == {("person", "홍길동"), ("org", "한국 연구원(주)")}
     assert [r.value for r in structure.registered(names).orderBy("nth").collect()] == ["홍길동", "한국 연구원(주)"]
-    hits = {(r.doc_id, r.seg_id, r.value, r.start_pos) for r in structure.propagated(s, names).collect()}
-    assert hits == {("d", "2", "홍길동", 0), ("d", "3", "한국 연구원(주)", 0), ("d", "4", "홍길동", 3), ("d", "4", "홍*동", 17)}
-    assert {(r.mention, r.value) for r in structure.surname_mentions(s, names).filter("seg_id = '5'").collect()} == {("홍 박사", "홍길동"), ("김 박사", None)}
-    assert {r.seg_id for r in structure.after_references(s).filter("in_references").collect()} == {"6", "7"}
     (row,) = structure.row_attributes(s).collect()
     assert row.attributes == {"person": "홍길동", "org": "한국 연구원(주)"}
 
@@ -114,4 +111,60 @@ def test_text_sources(spark):
     csv = spark.createDataFrame([("c", '﻿성명,비고\n"홍, 길동","두\n줄"\n,'), ("n", None)], "doc_id string, text string")
     assert {(r.seg_id, r.header_text, r.text) for r in text.separated_cells(csv).collect()} == {("R00000C000", "", "성명"), ("R00000C001", "", "비고"), ("R00001C000", "성명", "홍, 길동"), ("R00001C001", "비고", "두\n줄")}
     segs = spark.createDataFrame([("d", str(i), i, "x" * n) for i, n in enumerate([300, 150, 100, 900, 10])], "doc_id string, seg_id string, ord int, text string")
-    assert [r.chunk for r in text.chunks(segs).orderBy("seg_id").collect()] == ["0-0", "0-0", "0-1", "0-2", "0-3"]
+    assert [r.chunk for r in text.chunks(segs).orderBy("seg_id").collect()] == [0, 0, 1, 2, 3]
+
+
+def test_chunks_against_the_plain_way(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [("a", f"{i:05d}", i, "x" * r.randint(0, 240), i % 50 == 0) for i in range(3500)] + [("b", "0", 0, None, False), (None, "0", 0, "y" * 700, False)]
+    segs = spark.createDataFrame(rows, "doc_id string, seg_id string, ord int, text string, is_header boolean")
+    want, c, total = {}, 0, 0
+    for _, seg, _, t, head in rows[:3500]:
+        if t and not head:
+            if total and total + len(t) > 500:
+                c, total = c + 1, 0
+            total += len(t)
+            want[seg] = c
+    got = {x.seg_id: x.chunk for x in text.chunks(segs, skip=F.col("is_header"), block=100).filter("doc_id = 'a'").collect()}
+    assert got == want and text.chunks(segs).filter("doc_id is null").count() == 1
+
+
+def test_sweep():
+    v = lambda value, category="person": {"value": value, "pseudonym": f"[{category}]", "category": category}
+    swept = lambda t, *vs, taken=(): [t[s["start_pos"] : s["end_pos"]] for s in rewrite.sweep_spans(t, list(vs), list(taken))]
+    assert swept("발표자홍길동과 홍길동", v("홍길동")) == ["홍길동", "홍길동"]
+    assert swept("강산은 강산성 토양", v("강산")) == ["강산"]  # two letters: only as a word of its own
+    assert swept("홍 길 동이 홍·길·동", v("홍길동")) == ["홍 길 동", "홍·길·동"] and swept("이홍 길 동", v("홍길동")) == []
+    assert swept("누리연구원과 누리연구원장", v("누리연구원", "org"), v("누리", "org")) == ["누리연구원", "누리연구원"]
+    assert swept("[연구자A] 연구자A", v("연구자A")) == ["연구자A"] and swept("홍길동", v("홍길동"), taken=[(1, 2)]) == []
+    assert rewrite.sweep_text("홍길동과 홍 길 동", [v("홍길동")]) == "[person]과 [person]" and swept("김", v("김")) == []
+
+
+def test_whole_way(spark):
+    from test_mentions import segments
+
+    rows = [
+        ("a", "담당자: 최하나"), ("a", "최하나의 전화는 010-1234-5678, 메일 hana@x.co.kr"), ("a", "과제는 최 하 나와 함께"), ("a", "제목은 그대로"), ("b", "전화 010-9999-8888"), ("b", "최하나도 왔다"), ("c", "아무 값도 없다"), ("d", None),
+    ]
+    s = segments(spark, rows)
+    run = pipeline.run(s)
+    out = {r.seg_key: r.rewritten for r in run.rewritten.collect()}
+    assert out[0] == "담당자: [연구자A]" and out[1].startswith("[연구자A]의 전화는 [phone") and "hana" not in out[1] and out[2] == "과제는 [연구자A]와 함께" and out[3] == rows[3][1] and out[5] == "[연구자A]도 왔다" and out[7] is None
+    assert {r.doc_id: r.passed for r in run.verdicts.collect()} == {"a": True, "b": True, "c": True, "d": True}
+    assert {r.seg_key for r in pipeline.published(run).collect()} == set(range(8)) and pipeline.quarantined(run).count() == 0
+    # the same text again: nothing more is found
+    again = pipeline.run(run.rewritten.drop("text").withColumnRenamed("rewritten", "text"))
+    assert again.findings.count() == 0
+    # put back
+    back = rewrite.restore(run.rewritten, run.mapping, "seg_key", "rewritten")
+    assert {r.seg_key: r.restored for r in back.collect() if r.seg_key != 2} == {i: r[1] for i, r in enumerate(rows) if i != 2}
+    # what is left out by a setting is not asked for again, and one failing document is held back alone
+    strict = pipeline.run(segments(spark, [("a", "참석: 홍길동, 김철수, 박나래"), ("b", "전화 010-9999-8888")]), Config(strict_only=True))
+    assert {r.doc_id: r.passed for r in strict.verdicts.collect()} == {"a": True, "b": True} and strict.plans.count() == 1
+    bad = spark.createDataFrame([("z",)], "doc_id string")
+    judged = pipeline.run(segments(spark, [("a", "가")]), failed=bad).verdicts
+    assert {r.doc_id: r.passed for r in judged.collect()} == {"a": True, "z": False}
+    masked = pipeline.run(segments(spark, [("a", "전화 010-9999-8888")]), Config(mask="*"))
+    assert [r.rewritten for r in masked.rewritten.collect()] == ["전화 *************"]

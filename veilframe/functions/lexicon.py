@@ -18,13 +18,17 @@ HEADERS = {
 }
 HEADER_CATEGORY = {label: category for category, labels in HEADERS.items() for label in labels.split("|")}
 # Organisation endings, words that end like one but are none, and company marks.
-ORG_ENDINGS = "초등학교 고등학교 중학교 대학교 대학원 대학 연구원 연구소 연구단 연구회 연구실 재단 공사 공단 진흥원 협회 학회 센터 위원회 본부 사업단 법인 기술원 과학원 박물관 병원 유치원 어린이집 평가원 개발원 연수원 교육원 정보원 관리원 감독원 인증원 시험원 표준원 품질원 안전원 보건원 의료원 감사원 학술원 번역원 문화원 법원 보호원 한림원 소비자원 검역원 수련원 훈련원 예술원 국악원 테크노파크 보건소 지원단 협력단"
+ORG_ENDINGS = "대학교 대학 연구원 연구소 연구단 재단 공사 공단 진흥원 협회 학회 센터 위원회 본부 사업단 법인 연구회 기술원 과학원 박물관 병원 초등학교 중학교 고등학교 대학원 유치원 어린이집 평가원 개발원 연수원 교육원 정보원 관리원 감독원 인증원 시험원 표준원 품질원 안전원 보건원 의료원 감사원 학술원 번역원 문화원 법원 보호원 한림원 소비자원 검역원 수련원 훈련원 예술원 국악원 테크노파크 보건소 연구실 지원단 협력단"
+ORG_SHORT_ENDINGS = "부 처 청 국"
+ORG_ABBREVIATIONS = "화학연 기계연 재료연 표준연 생명연 에너지연 에기연 원자력연 항우연 전기연 철도연 건설연 지질연 지자연 천문연 생기원 식품연 김치연 한의학연 핵융합연 안전성연 기초지원연 과기연 전자통신연 국보연 카이스트 포스텍 유니스트 지스트 디지스트 켄텍"
 ORG_NOT = "참여연구원 책임연구원 선임연구원 수석연구원 공동연구원 주관연구원 전담연구원 위촉연구원 학생연구원 연구원 연구소 연구단 대학교 대학 센터 본부 재단 협회 학회 위원회 사업단 기술원 국가연구개발사업 정부출연연구기관 출연연구기관 박사후연구원 연구보조원 대학원 일반대학원 특수대학원 전문대학원 공동연구실 개인연구실 학생연구실 교수연구실 대학원연구실 기업부설연구실"
 ORG_ROLES = "박사후 연구보조 책임 선임 수석 주임 참여 공동 주관 전담 위촉 학생 초빙 객원 겸임 전임 비전임 전문 일반 신진 청년 여성 우수 핵심 보조 행정 기술 석사 박사 인턴 파견 계약직 정규직 비정규직 해외 국내 외부 내부 소속"
 ORG_LATIN = "KAIST POSTECH UNIST GIST DGIST KENTECH UST KIST ETRI KRICT KIMM KIMS KRISS KRIBB KIER KAERI KARI KERI KRRI KICT KIGAM KASI KITECH KFRI KIOM KFE KBSI KISTI"
 COMPANY_CUES = "스타트업 벤처기업 벤처 기업 회사 업체 법인 자회사 모회사 협력사 컨소시엄"
-# Particles that may follow a name.
+# Particles that may follow a name, and those of them that may follow a title.
 PARTICLES = "은 는 이 가 을 를 와 과 의 도 만 께 에게 에게서 한테 부터 까지 으로 로 이며 이고 이다 입니다 이라 라고 님 씨 등 및 외 께서 에서 에 이나 랑 이랑 처럼 보다"
+NAME_PARTICLES = "께서 에게서 에게 한테 부터 까지 으로 이며 이고 이다 입니다 이라고 이라 라고 에서 이나 이랑 처럼 보다 은 는 이 가 을 를 와 과 의 도 만 께 로 에 랑"
+HONORIFICS = "언니 오빠 누나 형 선배 후배 쌤 선생님 씨 님 군 양"
 TITLES = "교수 부교수 조교수 박사 석사 연구원 책임연구원 선임연구원 수석연구원 연구위원 위원장 위원 부장 차장 과장 팀장 실장 본부장 센터장 소장 원장 총장 학장 대표 이사 사장 회장 국장 처장 관장 감사 주무관 사무관 서기관 선생 선생님 박사님 교수님 책임 선임 수석 단장 부단장 부원장 부소장 부총장 부회장 부사장 이사장 대표이사 전무 상무 고문 지점장 그룹장 파트장 사무국장 연구관 연구사 장관 차관 의원 시장 군수 구청장 지사 간사 대리 주임 조교 강사 변호사 기자 명예교수 석좌교수 연구교수 겸임교수 초빙교수 학생 사원"
 # Titles that often stand for something else than a person, and roles that stand before a name.
 WEAK_TITLES = "시장 지사 의원 감사 이사 대리 주임 고문 간사 강사 기자 책임 선임 수석 군수 석사"

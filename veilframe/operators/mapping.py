@@ -31,7 +31,9 @@ def numbered(keys: DataFrame, group: str, order: list[str], into: str) -> DataFr
     counts = ranged.groupBy(group, "_p").agg(F.count("*").alias("_c"))  # a row per group and partition
     before = F.sum("_c").over(Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select(group, "_p", F.coalesce(before, F.lit(0)).alias("_b"))
-    return local.join(counts, [group, "_p"]).withColumn(into, (F.col("_n") + F.col("_b")).cast("long")).drop("_p", "_n", "_b")
+    counts = counts.select(F.col(group).alias("_g"), F.col("_p").alias("_q"), "_b")
+    met = local.join(counts, (F.col("_p") == F.col("_q")) & F.col(group).eqNullSafe(F.col("_g"))).drop("_g", "_q")
+    return met.withColumn(into, (F.col("_n") + F.col("_b")).cast("long")).drop("_p", "_n", "_b")
 
 
 def issue(values: DataFrame, order: list[str], existing: DataFrame | None = None) -> DataFrame:

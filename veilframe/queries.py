@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veilframe.config import SAMPLE_RULES, Config
 from veilframe.functions import checks
-from veilframe.functions.lexicon import HEADER_CATEGORY, PSEUDONYM
-from veilframe.operators import audit, detectors, intervals, mapping, mentions, merge, nested, rewrite, structure
+from veilframe.functions.lexicon import HEADER_CATEGORY
+from veilframe.operators import audit, context, detectors, documents, intervals, mapping, meet, merge, nested, pipeline, rewrite, structure
 from veilframe.session import ensure_checkpoint_dir, table
 from veilframe.sources import text
 
@@ -86,7 +87,7 @@ def src_grid(spark, sf_dir):
 
 
 def src_chunks(spark, sf_dir):
-    return text.chunks(_segments(spark, sf_dir))
+    return text.chunks(_segments(spark, sf_dir), skip=F.col("table_ctx.is_header"))
 
 
 def val_resident(spark, sf_dir):
@@ -135,7 +136,13 @@ def psn_continue(spark, sf_dir):
 
 
 def mrg_findings(spark, sf_dir):
-    """Candidates of all detectors, resolved per segment."""
+    """Findings of all layers - rules, values, structure, context - resolved per segment."""
+    out = documents.detected(_segments(spark, sf_dir), Config(rules=SAMPLE_RULES))
+    return out.withColumn("detectors", F.array_join("detectors", ","))
+
+
+def mrg_values(spark, sf_dir):
+    """Candidates of the value detectors alone, resolved per segment."""
     found = detectors.candidates(_segments(spark, sf_dir), header=F.col("table_ctx.header_text"), pieces=F.col("pieces"))
     out = merge.merged(found, ["doc_id", "seg_id"])
     return out.withColumn("detectors", F.array_join("detectors", ","))
@@ -148,9 +155,24 @@ def mrg_allow_list(spark, sf_dir):
 
 
 def rul_deny_list(spark, sf_dir):
-    """Originals of the mapping, wherever they stand in a segment."""
+    """Originals of the mapping, wherever they stand in a segment: a deny list of any length, as a join."""
     deny = _mapping(spark, sf_dir).filter("length(original) >= 2").select("original")
-    return rewrite.contains_pairs(_segments(spark, sf_dir), deny, "seg_key", "text", "original")
+    return meet.contains(_segments(spark, sf_dir), deny, "seg_key", "text", "original")
+
+
+#: A deny list and rules as a user would set them.
+USER = Config(deny=(("담당자", "confidential"), ("협약", "confidential"), ("Institute", "org")), rules=SAMPLE_RULES)
+
+
+def _layer(spark, sf_dir, *layers, config=Config()):
+    scan = documents.scanned(_segments(spark, sf_dir), config, layers)
+    f = scan.select("seg_key", "text", F.explode("found").alias("f")).select("seg_key", "f.start_pos", "f.end_pos", "f.category", "f.grade", "f.note", F.substring("text", F.col("f.start_pos") + 1, F.col("f.end_pos") - F.col("f.start_pos")).alias("value"))
+    return f
+
+
+def rul_rules(spark, sf_dir):
+    """Spans of a deny list and of the sample rules in all segments."""
+    return _layer(spark, sf_dir, "rule", config=USER)
 
 
 def l2_header_category(spark, sf_dir):
@@ -162,14 +184,20 @@ def l2_harvest(spark, sf_dir):
     return structure.harvested(_segments(spark, sf_dir)).select("doc_id", "seg_id", "category", "value").distinct()
 
 
-def _names(segments):
-    """Names in cells and after labels: what a document's registry holds. After a label, no pseudonym and no department of under three characters."""
-    labelled = mentions.harvested_labels(segments, "part", "ord").filter(~F.col("value").rlike(PSEUDONYM) & ((F.col("category") == "person") | (F.length("value") >= 3)))
-    return structure.harvested(segments).unionByName(labelled)
+def _scan(spark, sf_dir, *layers):
+    ensure_checkpoint_dir(spark)
+    return documents.scanned(_segments(spark, sf_dir), layers=layers or documents.LAYERS).checkpoint()
+
+
+def l2_cells(spark, sf_dir):
+    """Cells that their header names, as findings."""
+    return _layer(spark, sf_dir, "L2")
 
 
 def l2_registry(spark, sf_dir):
-    return structure.registered(_names(_segments(spark, sf_dir)))
+    """Each document's names from cells and labels, numbered in the order of their first mention."""
+    names = _scan(spark, sf_dir, "L2").select("doc_id", "part", "ord", "seg_id", F.explode("names").alias("n")).select("doc_id", "part", "ord", "seg_id", "n.category", "n.value")
+    return structure.registered(names)
 
 
 def l2_row_attributes(spark, sf_dir):
@@ -178,52 +206,72 @@ def l2_row_attributes(spark, sf_dir):
 
 
 def l2_propagate(spark, sf_dir):
-    s = _segments(spark, sf_dir)
-    return structure.propagated(s, _names(s))
+    """Registered names and their variants wherever they stand in their document."""
+    scan = _scan(spark, sf_dir, "L2")
+    out = documents.propagated(scan, documents.registry(scan)).select("seg_key", F.explode("hits").alias("h"))
+    return out.select("seg_key", "h.category", "h.value", "h.start_pos", "h.end_pos")
+
+
+def l2_labels(spark, sf_dir):
+    """Names of people, organisations and departments after a label in running text."""
+    no_cells = _segments(spark, sf_dir).withColumn("table_ctx", F.lit(None).cast("struct<header_text:string,is_header:boolean>"))
+    return documents.scanned(no_cells, layers=("L2",)).select("doc_id", "seg_id", F.explode("names").alias("n")).select("doc_id", "seg_id", "n.category", "n.value").distinct()
 
 
 def l3_unique_surnames(spark, sf_dir):
-    return structure.unique_surnames(_names(_segments(spark, sf_dir)))
+    """Family names that one registered person of a document has."""
+    return documents.unique_surnames(documents.registry(_scan(spark, sf_dir, "L2"))).filter("n = 1").select("doc_id", "surname", "value")
 
 
-def l3_surname_mentions(spark, sf_dir):
-    s = _segments(spark, sf_dir)
-    return structure.surname_mentions(s, _names(s))
+def _people(scan):
+    f = scan.select("doc_id", "text", F.explode(F.filter("found", lambda f: (f["detector"] == "L3") & (f["category"] == "person"))).alias("f"))
+    return f.select("doc_id", F.lit("person").alias("category"), F.substring("text", F.col("f.start_pos") + 1, F.col("f.end_pos") - F.col("f.start_pos")).alias("value")).distinct()
 
 
-def l3_references(spark, sf_dir):
-    """Segments at or after their document's list of references."""
-    return structure.after_references(_segments(spark, sf_dir)).filter("in_references").select("doc_id", "seg_id")
+def l3_surname_mentions(spark, sf_dir):
+    """Family names with a title, and whom they mean."""
+    scan = _scan(spark, sf_dir)
+    out = documents.surname_hits(scan, documents.registry(scan), _people(scan))
+    return out.select("seg_key", "hit.start_pos", "hit.end_pos", "hit.grade", "hit.note", "hit.value").distinct()
 
 
-def l3_organisations(spark, sf_dir):
-    out = structure.organisations(_segments(spark, sf_dir)).select("seg_key", "text", F.explode("orgs").alias("o"))
-    return out.select("seg_key", "o.start_pos", "o.end_pos", F.substring("text", F.col("o.start_pos") + 1, F.col("o.end_pos") - F.col("o.start_pos")).alias("value"))
+def l3_given_names(spark, sf_dir):
+    """People called by their given name alone."""
+    scan = _scan(spark, sf_dir)
+    people = documents.registry(scan).filter("category = 'person'").select("doc_id", "value").unionByName(_people(scan).select("doc_id", "value")).distinct()
+    return documents.given_hits(scan, people).select("seg_key", "hit.start_pos", "hit.end_pos", "hit.value").distinct()
 
 
-def l2_labels(spark, sf_dir):
-    return mentions.harvested_labels(_segments(spark, sf_dir)).distinct()
+def l3_references(spark, sf_dir):
+    """Segments at or after their document's list of references."""
+    return documents.in_references(_scan(spark, sf_dir, "L2"))
 
 
 def l3_people(spark, sf_dir):
-    """Names after labels, payee marks and honorifics."""
-    out = mentions.people(_segments(spark, sf_dir)).select("seg_key", "text", F.explode("people").alias("o"))
-    return out.select("seg_key", "o.start_pos", "o.end_pos", F.substring("text", F.col("o.start_pos") + 1, F.col("o.end_pos") - F.col("o.start_pos")).alias("value"))
+    """Names after labels, payee marks and forms of address, before titles."""
+    return _layer(spark, sf_dir, "L3").filter("category = 'person'")
+
+
+def l3_organisations(spark, sf_dir):
+    """Organisations by ending, mark, quotes, office, abbreviation and English name."""
+    return _layer(spark, sf_dir, "L3").filter("category = 'org'")
 
 
-def l3_organisation_shapes(spark, sf_dir):
-    out = mentions.organisations_by_shape(_segments(spark, sf_dir)).select("seg_key", "text", F.explode("orgs").alias("o"))
-    return out.select("seg_key", "o.start_pos", "o.end_pos", F.substring("text", F.col("o.start_pos") + 1, F.col("o.end_pos") - F.col("o.start_pos")).alias("value"))
+def l3_departments(spark, sf_dir):
+    """Departments right after an organisation."""
+    return _layer(spark, sf_dir, "L3").filter("category = 'dept'")
 
 
 def l3_short_universities(spark, sf_dir):
-    return mentions.short_universities(_segments(spark, sf_dir))
+    scan = _scan(spark, sf_dir)
+    return documents.short_university_hits(scan, documents.registry(scan)).select("seg_key", "hit.start_pos", "hit.end_pos", "hit.value")
 
 
-def swp_spaced(spark, sf_dir):
-    """People of the mapping, wherever a segment spells them with gaps."""
-    people = _mapping(spark, sf_dir).filter("category = 'person'").select("original")
-    return mentions.spaced(people, _segments(spark, sf_dir), "seg_key", "original")
+def swp_sweep(spark, sf_dir):
+    """What is left of the mapping's values in all segments beside the recorded findings, plain or spaced."""
+    m = _mapping(spark, sf_dir).filter("original is not null and pseudonym is not null").select("category", "original", "pseudonym")
+    f = _findings(spark, sf_dir).filter("start_pos is not null and end_pos > start_pos").join(_segments(spark, sf_dir).select("doc_id", "seg_id", "seg_key"), ["doc_id", "seg_id"]).select("seg_key", "start_pos", "end_pos")
+    return rewrite.swept(_segments(spark, sf_dir), f, m)
 
 
 def _plans(spark, sf_dir):
@@ -256,11 +304,23 @@ def ver_leaks(spark, sf_dir):
     return audit.leaks(_segments(spark, sf_dir), _mapping(spark, sf_dir), "seg_key", "text")
 
 
+def _run(spark, sf_dir):
+    return pipeline.run(_segments(spark, sf_dir), Config(rules=SAMPLE_RULES))
+
+
 def ver_verdict(spark, sf_dir):
-    """Documents of recorded findings, judged: no certain finding, no parse issue."""
-    f = _findings(spark, sf_dir)
-    issues = f.filter("category is null").select("doc_id", F.lit("block").alias("level"))
-    return audit.verdict(f, f.filter("grade = '확실' and category in ('rrn', 'passport')"), f.filter("category = 'confidential'"), issues)
+    """The whole way - detect, issue, plan, sweep, rewrite, look again - and the verdict on every document."""
+    return _run(spark, sf_dir).verdicts
+
+
+def ver_rescan(spark, sf_dir):
+    """What the second look still finds in the rewritten segments."""
+    return _run(spark, sf_dir).rescan
+
+
+def pub_published(spark, sf_dir):
+    """Rewritten segments of the documents that passed."""
+    return pipeline.published(_run(spark, sf_dir)).select("seg_key", "doc_id", "rewritten")
 
 
 def ver_context_risk(spark, sf_dir):
@@ -291,17 +351,16 @@ def rpt_samples(spark, sf_dir):
 
 
 def flagship(spark, sf_dir):
-    """Detect, resolve and rate: the risk level of every document, from its text alone."""
-    found = detectors.candidates(_segments(spark, sf_dir), header=F.col("table_ctx.header_text"), pieces=F.col("pieces"))
-    f = merge.merged(found, ["doc_id"]).select("doc_id", "category")
-    return audit.guard(table(spark, sf_dir, "segments").select("doc_id"), f)
+    """Detect in all layers, resolve and rate: the risk level of every document, from its text alone."""
+    s = _segments(spark, sf_dir)
+    return audit.guard(s.select("doc_id"), documents.detected(s, Config(rules=SAMPLE_RULES)).select("doc_id", "category"))
 
 
 _OWN = (
     p1_found, p1_tables, p1_variants, p5_found, l1_email_values, src_lines, src_markdown_cells, src_grid, src_chunks, val_resident, val_business, val_luhn,
-    sc_mapping_key, sc_context_text, psn_tag, psn_issue, psn_continue, mrg_findings, mrg_allow_list, rul_deny_list, l2_header_category, l2_harvest, l2_registry,
-    l2_row_attributes, l2_propagate, l3_unique_surnames, l3_surname_mentions, l3_references, l3_organisations, l2_labels, l3_people, l3_organisation_shapes, l3_short_universities, swp_spaced, pln_apply, pln_mask, rst_restore, ver_leaks,
-    ver_verdict, ver_context_risk, grd_documents, grd_run, rpt_by_category, rpt_masked, rpt_samples, flagship,
+    sc_mapping_key, sc_context_text, psn_tag, psn_issue, psn_continue, mrg_findings, mrg_values, mrg_allow_list, rul_deny_list, rul_rules, l2_header_category, l2_harvest, l2_cells, l2_labels, l2_registry,
+    l2_row_attributes, l2_propagate, l3_unique_surnames, l3_surname_mentions, l3_given_names, l3_references, l3_people, l3_organisations, l3_departments, l3_short_universities,
+    pln_apply, pln_mask, swp_sweep, rst_restore, ver_leaks, ver_verdict, ver_rescan, pub_published, ver_context_risk, grd_documents, grd_run, rpt_by_category, rpt_masked, rpt_samples, flagship,
 )
 QUERIES = {f.__name__: f for f in (*_OWN, *map(_detector_query, detectors.DETECTORS))}
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.operators.mapping import numbered
+
 
 def lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, seg_id, ord, kind, text): one for each line, blank ones too; a null text has none."""
@@ -56,8 +60,6 @@ def separated_cells(documents: DataFrame, sep: str = ",", doc_id: str = "doc_id"
     import io
     from collections.abc import Iterator
 
-    import pandas as pd
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         csv.field_size_limit(1 << 30)
         for frame in frames:
@@ -79,19 +81,46 @@ def grid(cells: DataFrame) -> DataFrame:
     return per.select("doc_id", "table_id", "row_no", F.concat(F.lit("| "), F.array_join(F.transform("c", lambda x: F.coalesce(x["text"], F.lit(""))), " | "), F.lit(" |")).alias("line"))
 
 
-def chunks(segments: DataFrame, size: int = 500) -> DataFrame:
+def chunks(segments: DataFrame, size: int = 500, skip: Column | None = None, block: int = 1000) -> DataFrame:
     """Rows (doc_id, seg_id, chunk): segments of a document in order, as many to a chunk as stay within ``size`` characters.
 
-    A segment longer than that is a chunk of its own. Sums run per block of 1,000 segments, and a block starts a
-    chunk, so a long document is not one task.
+    A segment longer than that is a chunk of its own; blank ones and those of ``skip`` are left out. Chunks are counted
+    from 0 in each document. What a chunk holds depends on all before it, but only through the sum at hand: each block of
+    segments says what becomes of every sum it may be given, blocks are chained (a row for ``block`` segments), and each
+    then counts its own, so no task holds a long document.
     """
-    s = segments.select("doc_id", "seg_id", "ord", F.length("text").alias("n")).filter("n > 0").withColumn("block", F.floor(F.col("ord") / 1000))
-    per = s.groupBy("doc_id", "block").agg(F.array_sort(F.collect_list(F.struct("ord", "seg_id", "n"))).alias("l"))
-    zero = F.struct(F.lit(0).alias("c"), F.lit(0).alias("sum"), F.array().cast("array<struct<seg_id:string,c:int>>").alias("out"))
-
-    def step(acc, x):
-        new = (acc["sum"] > 0) & (acc["sum"] + x["n"] > size)
-        c = F.when(new, acc["c"] + 1).otherwise(acc["c"])
-        return F.struct(c.alias("c"), F.when(new, x["n"]).otherwise(acc["sum"] + x["n"]).alias("sum"), F.concat(acc["out"], F.array(F.struct(x["seg_id"].alias("seg_id"), c.alias("c")))).alias("out"))
-
-    return per.select("doc_id", "block", F.explode(F.aggregate("l", zero, step, lambda a: a["out"])).alias("x")).select("doc_id", F.col("x.seg_id").alias("seg_id"), F.format_string("%d-%d", "block", "x.c").alias("chunk"))
+    s = segments.filter(~F.coalesce(skip, F.lit(False))) if skip is not None else segments
+    s = s.select("doc_id", "seg_id", "ord", F.length("text").alias("n")).filter("n > 0")
+    s = numbered(s, "doc_id", ["ord", "seg_id"], "i").withColumn("block", F.expr(f"i div {block}"))
+    kinds = {c.name: c.dataType.simpleString() for c in s.schema.fields}
+
+    def transfer(key, frame: pd.DataFrame) -> pd.DataFrame:
+        sums, new = np.arange(size + 1), np.zeros(size + 1, dtype=np.int64)
+        for n in frame.sort_values("i")["n"].clip(upper=size + 1):
+            opens = (sums > 0) & (sums + n > size)
+            # a chunk over the size is full: the next segment opens another
+            sums, new = np.minimum(np.where(opens, n, sums + n), size), new + opens
+        return pd.DataFrame({"doc_id": [key[0]], "block": [key[1]], "sums": [sums.tolist()], "new": [new.tolist()]})
+
+    def chain(key, frame: pd.DataFrame) -> pd.DataFrame:
+        out, at, first = [], 0, 0
+        for b, sums, new in frame.sort_values("block")[["block", "sums", "new"]].itertuples(index=False):
+            out.append((key[0], b, at, first))
+            at, first = int(sums[at]), first + int(new[at])
+        return pd.DataFrame(out, columns=["doc_id", "block", "at", "first"])
+
+    def count(key, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("i")
+        total, c, out = int(frame["at"].iloc[0]), int(frame["first"].iloc[0]), []
+        for n in frame["n"].clip(upper=size + 1):
+            if total and total + n > size:
+                c, total = c + 1, 0
+            total = min(total + n, size)
+            out.append(c)
+        return pd.DataFrame({"doc_id": frame["doc_id"], "seg_id": frame["seg_id"], "chunk": out})
+
+    d = kinds["doc_id"]
+    blocks = s.groupBy("doc_id", "block").applyInPandas(transfer, f"doc_id {d}, block long, sums array<long>, new array<long>")
+    starts = blocks.groupBy("doc_id").applyInPandas(chain, f"doc_id {d}, block long, at long, first long").select(F.col("doc_id").alias("_d"), F.col("block").alias("_b"), "at", "first")
+    met = s.join(starts, s["doc_id"].eqNullSafe(F.col("_d")) & (s["block"] == F.col("_b")))
+    return met.groupBy("doc_id", "block").applyInPandas(count, f"doc_id {d}, seg_id {kinds['seg_id']}, chunk long")
