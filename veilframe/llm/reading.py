@@ -1,12 +1,12 @@
 """Reading level of documents.
 
-The familiar-word formula: the share of words outside a high-frequency list, and the length of sentences, which
-enters as its logarithm. A document's words are those of its running prose; headings, label lines, table rows and
+The familiar-word formula: the share of words outside a high-frequency list, and the average length of sentences. A
+document's words are those of its running prose; headings, label lines, table rows and
 lines that end without a full stop are set aside. Korean words are taken without their particles. The list of a
 language is its :data:`LIST_SIZE` words with the highest document frequency, counted over all documents.
 
-On technical corpora frequent words are not easy words, so the formula also takes the mean length of words. Its
-weights are fitted per language on the graded passages (a labelled sample of at most :data:`GRADED_LIMIT` rows):
+On technical corpora frequent words are not easy words, so the formula also takes the mean length of words (``terms``
+leaves it out). Its weights are fitted per language on the graded passages (a labelled sample of at most :data:`GRADED_LIMIT` rows):
 ridge regression for the band, logistic regression for being as demanding as the upper bands.
 
 Defined results: a document without prose, null or empty has no level and is not demanding. The language is that of
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.llm.pii import skeleton
+from veilframe.session import ensure_checkpoint_dir
 
 LIST_SIZE = 300
 GRADED_LIMIT = 100_000
@@ -87,47 +88,50 @@ def _counted(text: str | None, words: Words) -> tuple[list[str], int]:
     return words.of("\n".join(lines)), sum(1 for p in lines for s in _SENTENCE.split(p) if s.strip())
 
 
-def frequent_words(documents: DataFrame, size: int = LIST_SIZE) -> dict[str, set[str]]:
-    """The ``size`` words of each language in the most documents, over all documents."""
+def counted(documents: DataFrame) -> DataFrame:
+    """Rows (doc_id, source, lang, n_sentences, words array<struct<w,n>>): the words of each document's prose, read once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = Words(), Counter()
+        words = Words()
+        kind = pa.list_(pa.struct([("w", pa.string()), ("n", pa.int32())]))
+        for batch in batches:
+            langs, sentences, found = [], [], []
+            for text in batch.column(2).to_pylist():
+                ws, n = _counted(text, words)
+                langs.append(language(ws) if ws else None)
+                sentences.append(n)
+                found.append([{"w": w, "n": k} for w, k in Counter(ws).items()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(sentences, pa.int32()), pa.array(found, kind)], names=["doc_id", "source", "lang", "n_sentences", "words"])
+
+    src = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    return src.mapInArrow(run, "doc_id long, source string, lang string, n_sentences int, words array<struct<w:string,n:int>>")
 
-        def out():
-            keys = list(counts)
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], names=["lang", "word", "n"])
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                ws, _ = _counted(text, words)
-                if ws:
-                    lang = language(ws)
-                    counts.update((lang, w) for w in set(ws))
-            if len(counts) > 200_000:
-                yield out()
-                counts.clear()
-        yield out()
-
-    df = documents.select("text").filter("text is not null").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+def frequent_words(of: DataFrame, size: int = LIST_SIZE) -> dict[str, set[str]]:
+    """The ``size`` words of each language in the most documents, over all rows of :func:`counted`."""
+    df = of.select("lang", F.explode("words.w").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     # The first of each language, without gathering a language in one task: two languages and a bounded list each.
     lists: dict[str, set[str]] = {}
-    top = df.repartition(32, "lang", F.pmod(F.xxhash64("word"), F.lit(16)))
     part = Window.partitionBy("lang", F.pmod(F.xxhash64("word"), F.lit(16))).orderBy(F.desc("n"), "word")
-    some = top.withColumn("r", F.row_number().over(part)).filter(F.col("r") <= size)
+    some = df.withColumn("r", F.row_number().over(part)).filter(F.col("r") <= size)
     final = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     for row in some.withColumn("r", F.row_number().over(final)).filter(F.col("r") <= size).select("lang", "word").collect():
         lists.setdefault(row.lang, set()).add(row.word)
     return lists
 
 
+#: The terms of the formula: the named two, and the mean length of words.
+NAMED, ALL = 2, 3
+
+
 def features(text: str | None, lists: dict[str, set[str]], words: Words) -> tuple[str, int, int, float, float, float] | None:
-    """(language, words, sentences, unfamiliar share, log of words a sentence, letters a word), or None without prose."""
+    """(language, words, sentences, unfamiliar share, words a sentence, letters a word), or None without prose."""
     ws, n_sentences = _counted(text, words)
     if not ws:
         return None
     lang = language(ws)
     known = lists.get(lang, set())
-    return lang, len(ws), n_sentences, sum(w not in known for w in ws) / len(ws), float(np.log(len(ws) / max(1, n_sentences))), sum(map(len, ws)) / len(ws)
+    return lang, len(ws), n_sentences, sum(w not in known for w in ws) / len(ws), len(ws) / max(1, n_sentences), sum(map(len, ws)) / len(ws)
 
 
 def _ridge(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -147,13 +151,13 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(graded: list[tuple[int, str]], lists: dict[str, set[str]]) -> dict[str, tuple]:
-    """Per language (mean, scale, weights for the band, weights for demanding) from (band, text) rows."""
+def fit(graded: list[tuple[int, str]], lists: dict[str, set[str]], terms: int = ALL) -> dict[str, tuple]:
+    """Per language (mean, scale, weights for the band, weights for demanding) from (band, text) rows, with the first ``terms`` terms."""
     words, rows = Words(), {}
     for band, text in graded:
         f = features(text, lists, words)
         if f and band is not None:
-            rows.setdefault(f[0], []).append((f[3:], band))
+            rows.setdefault(f[0], []).append((f[3 : 3 + terms], band))
     out = {}
     for lang, own in rows.items():
         x, y = np.array([f for f, _ in own]), np.array([b for _, b in own], dtype=float)
@@ -163,32 +167,30 @@ def fit(graded: list[tuple[int, str]], lists: dict[str, set[str]]) -> dict[str,
     return out
 
 
-def levels(documents: DataFrame, graded: DataFrame, list_size: int = LIST_SIZE) -> DataFrame:
+def levels(documents: DataFrame, graded: DataFrame, list_size: int = LIST_SIZE, terms: int = ALL) -> DataFrame:
     """Rows (doc_id, source, lang, n_words, n_sentences, unfamiliar, level, demanding), one per document.
 
-    ``level`` lies on the scale of the graded bands, from 1 to 5.
+    ``level`` lies on the scale of the graded bands, from 1 to 5. ``terms`` NAMED leaves out the length of words.
     """
-    lists = frequent_words(documents, list_size)
-    sample = [(r.band, r.text) for r in graded.select("band", "text").limit(GRADED_LIMIT).collect()]
-    model = fit(sample, lists)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            for text in batch.column(2).to_pylist():
-                f = features(text, lists, words)
-                row: tuple = (None, 0, 0, None, None, False)
-                if f:
-                    m = model.get(f[0])
-                    row = (*f[:4], None, False)
-                    if m:
-                        z = np.append((np.array(f[3:]) - m[0]) / m[1], 1.0)
-                        row = (*f[:4], float(np.clip(z @ m[2], 1, 5)), bool(z @ m[3] > 0))
-                for c, v in zip(cols, row, strict=True):
-                    c.append(v)
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "source", "lang", "n_words", "n_sentences", "unfamiliar", "level", "demanding"])
-
-    src = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, source string, lang string, n_words int, n_sentences int, unfamiliar double, level double, demanding boolean").dropDuplicates(["doc_id"])
+    ensure_checkpoint_dir(documents.sparkSession)
+    of = counted(documents).checkpoint()
+    lists = frequent_words(of, list_size)
+    sample = [(r.band, r.text) for r in graded.select("passage_id", "band", "text").orderBy("passage_id").limit(GRADED_LIMIT).collect()]
+    model = fit(sample, lists, terms)
+
+    total = lambda words, value: F.aggregate(words, F.lit(0), lambda acc, x: acc + value(x))
+    fresh, level, demanding = F.lit(None).cast("int"), F.lit(None).cast("double"), F.lit(False)
+    for lang, known in sorted(lists.items()):
+        if lang is not None:
+            # a list of bounded length, looked up by hash
+            fresh = F.when(F.col("lang") == lang, total(F.filter("words", lambda x, k=tuple(sorted(known)): ~x["w"].isin(*k)), lambda x: x["n"])).otherwise(fresh)
+    for lang, (mean, scale, band, line) in sorted(model.items()):
+        x = [F.col("unfamiliar"), F.col("n_words") / F.greatest("n_sentences", F.lit(1)), F.col("_letters") / F.col("n_words")][:terms]
+        z = [(c - float(m)) / float(s) for c, m, s in zip(x, mean, scale, strict=True)]
+        sums = [sum((c * float(w) for c, w in zip(z, ws[:-1], strict=True)), F.lit(float(ws[-1]))) for ws in (band, line)]
+        level = F.when(F.col("lang") == lang, F.greatest(F.lit(1.0), F.least(F.lit(5.0), sums[0]))).otherwise(level)
+        demanding = F.when(F.col("lang") == lang, sums[1] > 0).otherwise(demanding)
+    out = of.withColumns({"n_words": total(F.col("words"), lambda x: x["n"]), "_letters": total(F.col("words"), lambda x: x["n"] * F.length(x["w"])), "_fresh": fresh})
+    out = out.withColumn("unfamiliar", F.when(F.col("n_words") > 0, F.col("_fresh") / F.col("n_words")))
+    out = out.withColumns({"level": F.when(F.col("n_words") > 0, level), "demanding": F.coalesce((F.col("n_words") > 0) & demanding, F.lit(False))})
+    return out.select("doc_id", "source", "lang", "n_words", "n_sentences", "unfamiliar", "level", "demanding").dropDuplicates(["doc_id"])
