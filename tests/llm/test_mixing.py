@@ -41,3 +41,12 @@ def test_quality_weighs(spark):
 def test_empty(spark):
     sel, rep = run(spark, [], [(1, "a", 1.0, 2)])
     assert sel == [] and rep[1, "a"].n_docs == 0
+
+
+def test_what_is_missing_is_less_than_any_document_left(spark):
+    rows = [(i, "a", 7 + i % 13, 1.0) for i in range(300)] + [(1000 + i, "b", 90 + i, 1.0) for i in range(40)]
+    sel, rep = run(spark, rows, [(1, "a", 0.9, 1), (1, "b", 0.1, 1)])
+    used = {r["doc_id"] for r in sel}
+    for (_, source), r in rep.items():
+        rest = [n for i, s, n, _ in rows if s == source and i not in used]
+        assert r.missing >= 0 and (not rest or r.missing < min(rest))

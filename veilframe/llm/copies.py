@@ -18,9 +18,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilframe.operators.components import connected_components, lookup
 
@@ -60,10 +62,16 @@ def shingles(text: str, seen: dict[str, int] | None = None) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """MinHash values, one for each of the random functions; none for no hashes."""
+    """MinHash values of 16 bits, one for each of the random functions; none for no hashes."""
     if not len(hashes):
-        return np.empty(0, np.uint32)
-    return ((hashes[None, :] * _A[:, None] + _B[:, None]) >> np.uint64(32)).min(axis=1).astype(np.uint32)
+        return np.empty(0, np.uint16)
+    # The least of 64 bits decides; its lower bits stand for it.
+    return _mixed((hashes[None, :] * _A[:, None] + _B[:, None]).min(axis=1)).astype(np.uint16)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * _MIX
+    return x ^ (x >> np.uint64(31))
 
 
 def bands(sig: np.ndarray) -> list[int]:
@@ -89,6 +97,15 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "copy_key long, s array<long>")
 
 
+@F.pandas_udf(T.DoubleType())
+def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Share of equal values in two signatures."""
+    if not len(a):
+        return pd.Series([], dtype="float64")
+    x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(len(a), -1) for s in (a, b))
+    return pd.Series((x == y).mean(axis=1))
+
+
 def clustered(items: DataFrame, documents: DataFrame) -> DataFrame:
     """``items`` (doc_id, copy_key, bands, sig, ...) with copy_key replaced by the cluster's, bands and sig dropped.
 
@@ -96,12 +113,16 @@ def clustered(items: DataFrame, documents: DataFrame) -> DataFrame:
     """
     nodes = items.filter("copy_key is not null and size(bands) > 0").groupBy("copy_key").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("d")).select("copy_key", "d.*").checkpoint()
     n = nodes.count()
-    own = nodes.select("copy_key", "sig", F.explode("bands").alias("band"))
-    leaders = own.groupBy("band").agg(F.min(F.struct(F.xxhash64("copy_key", "band"), "copy_key", "sig")).alias("l"), F.count("*").alias("n")).filter("n > 1")
-    leaders = leaders.select(F.col("band").alias("at"), F.col("l.copy_key").alias("b"), F.col("l.sig").alias("other")).checkpoint()
-    met = lookup(own, "band", leaders, "at", n * BANDS).filter("copy_key <> b")
-    alike = F.aggregate(F.zip_with("sig", "other", lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, x: acc + x)
-    pairs = met.filter(alike >= ESTIMATE * BANDS * ROWS).select(F.least("copy_key", "b").alias("a"), F.greatest("copy_key", "b").alias("b")).distinct().checkpoint()
+    # Signatures stay behind while nodes meet: a band's row is two numbers.
+    own = nodes.select("copy_key", F.explode("bands").alias("band"))
+    leaders = own.groupBy("band").agg(F.min(F.struct(F.xxhash64("copy_key", "band"), "copy_key")).alias("l"), F.count("*").alias("n")).filter("n > 1")
+    leaders = leaders.select(F.col("band").alias("at"), F.col("l.copy_key").alias("b"))
+    met = lookup(own, "band", leaders, "at", n * BANDS).filter("copy_key <> b").select(F.least("copy_key", "b").alias("a"), F.greatest("copy_key", "b").alias("b")).distinct().checkpoint()
+    sigs = nodes.select("copy_key", "sig")
+    n_met = met.count()
+    both = lookup(met, "a", sigs.select(F.col("copy_key").alias("ka"), F.col("sig").alias("sa")), "ka", n_met)
+    both = lookup(both, "b", sigs.select(F.col("copy_key").alias("kb"), F.col("sig").alias("sb")), "kb", n_met)
+    pairs = both.filter(_alike("sa", "sb") >= ESTIMATE).select("a", "b").checkpoint()
     n_pairs = pairs.count()
     if not n_pairs:
         return items.drop("bands", "sig")

@@ -109,12 +109,17 @@ def p8_levels(spark, sf_dir):
     return _levels(spark, sf_dir)
 
 
+def p8_levels_named(spark, sf_dir):
+    """The reading level of every document by the two named terms alone, to hold against p8_levels."""
+    return reading.levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "graded_passages"), terms=reading.NAMED)
+
+
 def p8_profile(spark, sf_dir):
     """Reading levels by source and language of the prose."""
     own = _levels(spark, sf_dir).filter("level is not null")
     return own.groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.avg("level").alias("mean_level"), F.avg(F.col("demanding").cast("double")).alias("demanding_share"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_entities, p4_found, p4_canonical, p6_packed, p6_packed_by_source, p6_usage, p7_selected, p7_shares, p8_found, p8_levels, p8_profile)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_entities, p4_found, p4_canonical, p6_packed, p6_packed_by_source, p6_usage, p7_selected, p7_shares, p8_found, p8_levels, p8_levels_named, p8_profile)}
 
 ORACLE: dict[str, str] = {}

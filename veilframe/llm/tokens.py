@@ -59,10 +59,10 @@ def measure(documents: DataFrame, vocabulary: str = VOCABULARY, near: bool = Fal
             cols = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array([quality(t or "") for t in texts], pa.float64()), pa.array(keys, pa.int64())]
             if near:
                 sigs = [copies.signature(copies.shingles(t, seen)) if t else [] for t in texts]
-                cols += [pa.array([copies.bands(x) if len(x) else [] for x in sigs], pa.list_(pa.int64())), pa.array([x.astype("int64").tolist() if len(x) else [] for x in sigs], pa.list_(pa.int64()))]
+                cols += [pa.array([copies.bands(x) if len(x) else [] for x in sigs], pa.list_(pa.int64())), pa.array([x.tobytes() if len(x) else None for x in sigs], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     names = ["doc_id", "source", "n_tokens", "quality", "copy_key", *(["bands", "sig"] if near else [])]
     src = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    out = src.mapInArrow(run, "doc_id long, source string, n_tokens long, quality double, copy_key long" + (", bands array<long>, sig array<long>" if near else ""))
+    out = src.mapInArrow(run, "doc_id long, source string, n_tokens long, quality double, copy_key long" + (", bands array<long>, sig binary" if near else ""))
     return out.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in names[1:]))
