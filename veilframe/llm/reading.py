@@ -175,15 +175,16 @@ def levels(documents: DataFrame, graded: DataFrame, list_size: int = LIST_SIZE,
     ensure_checkpoint_dir(documents.sparkSession)
     of = counted(documents).checkpoint()
     lists = frequent_words(of, list_size)
-    sample = [(r.band, r.text) for r in graded.select("passage_id", "band", "text").orderBy("passage_id").limit(GRADED_LIMIT).collect()]
+    sample = [(r.band, r.text) for r in graded.select("band", "text").orderBy("band", "text").limit(GRADED_LIMIT).collect()]
     model = fit(sample, lists, terms)
 
     total = lambda words, value: F.aggregate(words, F.lit(0), lambda acc, x: acc + value(x))
+    unknown = lambda known: lambda x: ~x["w"].isin(*known)
     fresh, level, demanding = F.lit(None).cast("int"), F.lit(None).cast("double"), F.lit(False)
     for lang, known in sorted(lists.items()):
         if lang is not None:
             # a list of bounded length, looked up by hash
-            fresh = F.when(F.col("lang") == lang, total(F.filter("words", lambda x, k=tuple(sorted(known)): ~x["w"].isin(*k)), lambda x: x["n"])).otherwise(fresh)
+            fresh = F.when(F.col("lang") == lang, total(F.filter("words", unknown(sorted(known))), lambda x: x["n"])).otherwise(fresh)
     for lang, (mean, scale, band, line) in sorted(model.items()):
         x = [F.col("unfamiliar"), F.col("n_words") / F.greatest("n_sentences", F.lit(1)), F.col("_letters") / F.col("n_words")][:terms]
         z = [(c - float(m)) / float(s) for c, m, s in zip(x, mean, scale, strict=True)]
