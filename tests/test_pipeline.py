@@ -37,7 +37,7 @@ def test_issue_and_continue(spark):
     rows = [("person", f"이름{i % 40}", i) for i in range(200)] + [("tel", "02-111-2222", 0), ("tel", "02 111 2222", 3), (None, "x", 0), ("tel", " ", 0), ("tel", None, 0)]
     df = spark.createDataFrame(rows, "category string, value string, ord int")
     out = {(r.category, r.map_key): r for r in mapping.issue(df, ["ord"]).collect()}
-    assert len(out) == 41 and out["tel", "021112222"].pseudonym == "[tel1]" and out["tel", "021112222"].n_used == 2
+    assert len(out) == 41 and out["tel", "021112222"].pseudonym == "[유선전화1]" and out["tel", "021112222"].n_used == 2
     assert [out["person", f"이름{i}"].idx for i in range(40)] == list(range(40)) and out["person", "이름27"].pseudonym == "[연구자AB]"
     old = spark.createDataFrame([("person", "이름3", 7), ("person", "없음", 99)], "category string, map_key string, idx long")
     more = {r.map_key: r.idx for r in mapping.issue(df, ["ord"], old).collect() if r.category == "person"}
@@ -151,7 +151,7 @@ def test_whole_way(spark):
     s = segments(spark, rows)
     run = pipeline.run(s)
     out = {r.seg_key: r.rewritten for r in run.rewritten.collect()}
-    assert out[0] == "담당자: [연구자A]" and out[1].startswith("[연구자A]의 전화는 [phone") and "hana" not in out[1] and out[2] == "과제는 [연구자A]와 함께" and out[3] == rows[3][1] and out[5] == "[연구자A]도 왔다" and out[7] is None
+    assert out[0] == "담당자: [연구자A]" and out[1].startswith("[연구자A]의 전화는 [휴대전화1], 메일 [이메일1]") and "hana" not in out[1] and out[2] == "과제는 [연구자A]와 함께" and out[3] == rows[3][1] and out[5] == "[연구자A]도 왔다" and out[7] is None
     assert {r.doc_id: r.passed for r in run.verdicts.collect()} == {"a": True, "b": True, "c": True, "d": True}
     assert {r.seg_key for r in pipeline.published(run).collect()} == set(range(8)) and pipeline.quarantined(run).count() == 0
     # the same text again: nothing more is found

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-# Categories with the label their pseudonyms carry.
+# The label that a category's pseudonyms carry; letters follow the first three, numbers the others.
 LABELS = {"person": "연구자", "org": "기관", "dept": "부서"}
+NUMBERED = {
+    "rrn": "주민등록번호", "foreign_id": "외국인등록번호", "passport": "여권번호", "driver": "운전면허번호", "phone": "휴대전화", "tel": "유선전화", "email": "이메일", "card": "카드번호", "account": "계좌번호", "address": "주소",
+    "birth": "생년월일", "vehicle": "차량번호", "handle": "계정", "title": "직위", "bizno": "사업자등록번호", "corpno": "법인등록번호", "project_no": "과제번호", "budget": "예산", "confidential": "기밀",
+}
 # Header words by category.
 HEADERS = {
     "person": "성명|성 명|이름|연구자명|연구책임자|책임자|담당자|작성자|신청인|대표자|성명(한글)|참여연구원|연구원명|성명및직위|위원명|발표자|저자|실무자|연락담당자",

@@ -11,16 +11,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions import checks
-from veilframe.functions.lexicon import LABELS
+from veilframe.functions.lexicon import LABELS, NUMBERED
 from veilframe.session import ensure_checkpoint_dir
 
 
 def pseudonym(category: Column, idx: Column) -> Column:
-    """[label + letters] for people, organisations and departments, [category + number] for the rest; idx counts from 0."""
-    label = F.lit(None).cast("string")
-    for c, name in LABELS.items():
-        label = F.when(category == c, F.lit(name)).otherwise(label)
-    return F.when(label.isNotNull(), F.concat(F.lit("["), label, checks.alpha_tag(idx), F.lit("]"))).otherwise(F.concat(F.lit("["), category, (idx + 1).cast("string"), F.lit("]")))
+    """[label + letters] for people, organisations and departments, [label + number] for the rest; idx counts from 0.
+
+    A category that is none of the known ones is its own label, without what is no letter.
+    """
+    label = lambda names, other: F.coalesce(F.create_map(*(F.lit(x) for kv in names.items() for x in kv))[category], other)
+    named = label(LABELS, F.lit(None).cast("string"))
+    other = label(NUMBERED, F.regexp_replace(category, "[^A-Za-z가-힣]", ""))
+    return F.concat(F.lit("["), F.when(named.isNotNull(), F.concat(named, checks.alpha_tag(idx))).otherwise(F.concat(other, (idx + 1).cast("string"))), F.lit("]"))
 
 
 def numbered(keys: DataFrame, group: str, order: list[str], into: str) -> DataFrame:

@@ -195,7 +195,7 @@ _AREA = re.compile(r"0(?:2|[3-6][1-5]|70|50\d)")
 
 def _code(n: Numbers, i: int, code: re.Pattern) -> tuple[int, int, int] | None:
     """A number with an area or network code from run ``i``: (first run, last run, length of the code)."""
-    first = n.text[slice(*n.runs[i])]
+    first = n.digits(i, i)
     if n.before(i) == "(" and n.after(i) == ")" and code.fullmatch(first):
         # in brackets: what follows needs a dash
         k = i + 1
@@ -216,7 +216,7 @@ def _code(n: Numbers, i: int, code: re.Pattern) -> tuple[int, int, int] | None:
 
 def _dialled(n: Numbers, i: int, code: re.Pattern) -> tuple[int, int, int] | None:
     """(start, end, last run) of a number, with the country code 82 or without."""
-    first = n.text[slice(*n.runs[i])]
+    first = n.digits(i, i)
     start = n.runs[i][0]
     if first.startswith("82"):
         at = start - 1 if n.before(i) == "+" else start
@@ -253,7 +253,7 @@ def telephone(n: Numbers, as_of: dt.date) -> list[Found]:
 
     def abroad(i):
         a = n.runs[i][0]
-        first = n.text[slice(*n.runs[i])]
+        first = n.digits(i, i)
         if n.before(i) != "+" or n.text[max(0, a - 2) : a - 1].isdigit() or len(first) > 3 or first.startswith("82"):
             return None
         j = i

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from veilframe.config import SAMPLE_RULES, Config
 from veilframe.functions import checks
-from veilframe.functions.lexicon import HEADER_CATEGORY
+from veilframe.functions.lexicon import HEADER_CATEGORY, HEADERS, NUMBERED, PARTICLES, SURNAMES, SURNAMES_2, TITLES, UNSURE_SURNAMES
 from veilframe.operators import audit, context, detectors, documents, intervals, mapping, meet, merge, nested, pipeline, rewrite, structure
+from veilframe.oracles import L1, RUNS, rule_rows
 from veilframe.session import ensure_checkpoint_dir, table
 from veilframe.sources import text
 
@@ -65,6 +66,16 @@ def _detector_query(name):
     return query
 
 
+def l1_email(spark, sf_dir):
+    """Plain e-mail addresses in all segments."""
+    return _detected(spark, sf_dir, "email").filter("note = ''")
+
+
+def l1_spoken_email(spark, sf_dir):
+    """E-mail addresses that are spelt out in words."""
+    return _detected(spark, sf_dir, "email").filter("note <> ''")
+
+
 def l1_email_values(spark, sf_dir):
     """Plain e-mail addresses of all segments, with how often each stands in a segment."""
     found = _detected(spark, sf_dir, "email").filter("note = ''")
@@ -357,12 +368,12 @@ def flagship(spark, sf_dir):
 
 
 _OWN = (
-    p1_found, p1_tables, p1_variants, p5_found, l1_email_values, src_lines, src_markdown_cells, src_grid, src_chunks, val_resident, val_business, val_luhn,
+    p1_found, p1_tables, p1_variants, p5_found, l1_email, l1_spoken_email, l1_email_values, src_lines, src_markdown_cells, src_grid, src_chunks, val_resident, val_business, val_luhn,
     sc_mapping_key, sc_context_text, psn_tag, psn_issue, psn_continue, mrg_findings, mrg_values, mrg_allow_list, rul_deny_list, rul_rules, l2_header_category, l2_harvest, l2_cells, l2_labels, l2_registry,
     l2_row_attributes, l2_propagate, l3_unique_surnames, l3_surname_mentions, l3_given_names, l3_references, l3_people, l3_organisations, l3_departments, l3_short_universities,
     pln_apply, pln_mask, swp_sweep, rst_restore, ver_leaks, ver_verdict, ver_rescan, pub_published, ver_context_risk, grd_documents, grd_run, rpt_by_category, rpt_masked, rpt_samples, flagship,
 )
-QUERIES = {f.__name__: f for f in (*_OWN, *map(_detector_query, detectors.DETECTORS))}
+QUERIES = {f.__name__: f for f in (*_OWN, *(_detector_query(d) for d in detectors.DETECTORS if d != "email"))}
 
 # Parts of the SQL that several queries share.
 _SEG = "seg AS (SELECT DISTINCT ON (seg_key) seg_key, doc_id, seg_id, ord, part, kind, text, table_ctx FROM segments)"
@@ -371,15 +382,56 @@ _MAP = "m AS (SELECT DISTINCT ON (rec_id) rec_id, category, map_key, original, n
 _HEADS = "heads(header, category) AS (VALUES " + ", ".join(f"('{h}', '{c}')" for h, c in sorted(HEADER_CATEGORY.items())) + ")"
 _RANK = "CASE WHEN category IN ('rrn','foreign_id','card','account','passport','driver') THEN 3 WHEN category IN ('person','phone','tel','email','address','birth','vehicle','handle') THEN 2 ELSE 1 END"
 _LEVEL = "CASE coalesce({0}, 0) WHEN 3 THEN '위험' WHEN 2 THEN '주의' WHEN 1 THEN '참고' ELSE '없음' END"
+_NUMBERED = "CASE category " + " ".join(f"WHEN '{c}' THEN '{label}'" for c, label in NUMBERED.items()) + " ELSE regexp_replace(category, '[^A-Za-z가-힣]', '', 'g') END"
 _DIGIT = lambda d, i: f"CAST(substr({d}, {i}, 1) AS INT)"
 _SUM = lambda d, ws: " + ".join(f"{_DIGIT(d, i + 1)} * {w}" for i, w in enumerate(ws))
 _BIRTH = "(CAST(substr(d,3,2) AS INT) BETWEEN 1 AND 12 AND CAST(substr(d,5,2) AS INT) BETWEEN 1 AND CASE WHEN CAST(substr(d,3,2) AS INT) = 2 THEN 29 WHEN CAST(substr(d,3,2) AS INT) IN (4,6,9,11) THEN 30 ELSE 31 END)"
-_KEY = r"""CASE WHEN length(regexp_replace(k, '[^0-9]', '', 'g')) >= 6 AND NOT regexp_matches(k, '\p{L}') THEN regexp_replace(k, '[^0-9]', '', 'g') ELSE lower(k) END"""
+_KEY = r"""CASE WHEN length(regexp_replace(translate(k, '０１２３４５６７８９', '0123456789'), '[^0-9]', '', 'g')) >= 6 AND NOT regexp_matches(k, '\p{L}') THEN regexp_replace(translate(k, '０１２３４５６７８９', '0123456789'), '[^0-9]', '', 'g') ELSE lower(k) END"""
 _NORMAL = r"""trim(regexp_replace(replace(replace(nfc_normalize({0}), chr(8203), ''), chr(65279), ''), '[\s\p{{Z}}]+', ' ', 'g'), ' ')"""
 _GUARD = f"""{_FIND}, g AS (SELECT doc_id, count(*) AS total, max({_RANK}) AS r FROM f WHERE category IS NOT NULL GROUP BY doc_id),
 docs AS (SELECT DISTINCT doc_id FROM segments),
 out AS (SELECT docs.doc_id, coalesce(total, 0) AS total, true AS checked, {_LEVEL.format('r')} AS level FROM docs LEFT JOIN g ON docs.doc_id IS NOT DISTINCT FROM g.doc_id)"""
 
+_HEAD_OF = "coalesce(head_map[regexp_replace({0}, '\\s+', '', 'g')], head_map[regexp_replace({0}, '[\\s()（）\\[\\]]', '', 'g')], list_filter(list_transform(list_reverse(regexp_split_to_array({0}, '[\\s()（）\\[\\]/·,]+')), lambda w: head_map[w]), lambda x: x IS NOT NULL)[1])".replace(
+    "head_map", "MAP {" + ", ".join(f"'{h}': '{c}'" for h, c in sorted(HEADER_CATEGORY.items())) + "}"
+)
+_PSEUDO = r"regexp_matches({0}, '\[[가-힣A-Za-z]+?(?:[A-Z]+|\p{{Nd}}+)(?:-[가-힣A-Za-z]+\p{{Nd}}*)?\]')"
+_LATIN = r"regexp_full_match({0}, '[A-ZÀ-ÖØ-ÞĀ-Ž][A-Za-zÀ-ž.''\-]+( [A-ZÀ-ÖØ-ÞĀ-Ž][A-Za-zÀ-ž.''\-]+){{1,3}}')"
+_HELD = "len(list_filter(coalesce(pieces, []), lambda p: p.start_pos < {1} AND {0} < p.start_pos + p.length AND NOT coalesce(p.editable, true) AND NOT coalesce(p.soft, false))) = 0"
+_SEG = "seg AS (SELECT DISTINCT ON (seg_key) seg_key, doc_id, seg_id, ord, part, kind, text, table_ctx, pieces FROM segments)"
+_WIDE = "translate({0}, '０１２３４５６７８９', '0123456789')"
+_S2, _S2A = SURNAMES_2.replace(" ", "|"), SURNAMES
+_LABEL_WORDS = {c: "|".join(sorted((h.replace("(", "[(]").replace(")", "[)]") for h in HEADERS[c].split("|")), key=len, reverse=True)) for c in ("person", "org", "dept")}
+_ALL_LABELS = "|".join(sorted((h.replace("(", "[(]").replace(")", "[)]") for c in ("person", "org", "dept") for h in HEADERS[c].split("|")), key=len, reverse=True))
+_LABEL_MAP = "MAP {" + ", ".join(f"'{h}': '{c}'" for c in ("person", "org", "dept") for h in HEADERS[c].split("|")) + "}"
+_LABELLED = rf"""{_SEG}, lab AS (SELECT doc_id, seg_id, part, ord, unnest(regexp_extract_all(text, '({_ALL_LABELS})[\s\p{{Z}}]*[:：][\s\p{{Z}}]*([^\s\p{{Z}},，/|]{{2,20}})', 0)) AS m FROM seg),
+lab2 AS (SELECT doc_id, seg_id, part, ord, {_LABEL_MAP}[regexp_extract(m, '^({_ALL_LABELS})')] AS category, regexp_extract(m, '^({_ALL_LABELS})[\s\p{{Z}}]*[:：][\s\p{{Z}}]*(.*)$', 2) AS value FROM lab),
+labelled AS (SELECT * FROM lab2 WHERE NOT {_PSEUDO.format('value')} AND CASE WHEN category = 'person' THEN regexp_full_match(value, '(({_S2})[가-힣]{{1,2}}|[{SURNAMES}][가-힣]{{1,2}})') ELSE length(value) >= 3 END)"""
+_NAMES = rf"""{_LABELLED}, own AS (SELECT doc_id, seg_id, part, ord, trim(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS v, {_HEAD_OF.replace('{0}', 'table_ctx.header_text')} AS category FROM seg WHERE table_ctx IS NOT NULL AND NOT coalesce(table_ctx.is_header, false)),
+cell AS (SELECT *, CASE WHEN category = 'person' THEN CASE WHEN {_LATIN.format('v')} THEN [v] ELSE list_filter(regexp_extract_all(v, '[가-힣]+'), lambda x: length(x) BETWEEN 2 AND 5) END WHEN category = 'dept' OR length(v) >= 3 THEN [v] ELSE [] END AS vs FROM own WHERE category IN ('person', 'org', 'dept') AND v <> '' AND NOT {_PSEUDO.format('v')}),
+names AS (SELECT doc_id, seg_id, part, ord, category, unnest(vs) AS value FROM cell UNION ALL SELECT doc_id, seg_id, part, ord, category, value FROM labelled)"""
+_FOLLOW = "|".join(sorted({*PARTICLES.split(), *TITLES.split()}, key=len, reverse=True))
+_TAG = """CASE WHEN idx < 26 THEN chr(CAST(65 + idx AS INT)) WHEN idx < 702 THEN chr(CAST(65 + (idx - 26) // 26 AS INT)) || chr(CAST(65 + (idx - 26) % 26 AS INT))
+ELSE chr(CAST(65 + (idx - 702) // 676 AS INT)) || chr(CAST(65 + (idx - 702) // 26 % 26 AS INT)) || chr(CAST(65 + (idx - 702) % 26 AS INT)) END"""
+_NAMED = f"CASE WHEN category IN ('person','org','dept') THEN '[' || CASE category WHEN 'person' THEN '연구자' WHEN 'org' THEN '기관' ELSE '부서' END || {_TAG} || ']' ELSE '[' || {_NUMBERED} || CAST(idx + 1 AS VARCHAR) || ']' END"
+_ISSUED = f"""{_FIND}, ia AS (SELECT *, coalesce(start_pos, -1) AS sp, {_NORMAL.format('text')} AS k FROM f WHERE category IS NOT NULL AND trim(text, ' ') <> ''), ib AS (SELECT *, {_KEY} AS map_key FROM ia),
+ic AS (SELECT *, row_number() OVER (PARTITION BY category, map_key ORDER BY doc_id, seg_id, sp, finding_id) AS r, count(*) OVER (PARTITION BY category, map_key) AS n_used FROM ib),
+idd AS (SELECT category, map_key, text AS original, n_used, row_number() OVER (PARTITION BY category ORDER BY doc_id, seg_id, sp, finding_id) - 1 AS idx FROM ic WHERE r = 1), issued AS (SELECT *, {_NAMED} AS pseudonym FROM idd)"""
+_SPLICE = """pl AS (SELECT DISTINCT doc_id, seg_id, start_pos AS s, end_pos AS e, issued.{0} AS rep, issued.pseudonym AS ps FROM ib JOIN issued USING (category, map_key) WHERE coalesce(grade, '') <> '검토' AND start_pos >= 0 AND end_pos > start_pos),
+pl2 AS (SELECT seg_key, text, s, e, rep, row_number() OVER (PARTITION BY seg_key ORDER BY s, e, ps) AS r FROM seg JOIN pl USING (doc_id, seg_id) WHERE e <= length(text)),
+go AS (SELECT seg_key, r, e, substr(text, 1, s) || rep AS done FROM pl2 WHERE r = 1 UNION ALL SELECT p.seg_key, p.r, CASE WHEN p.s >= g.e THEN p.e ELSE g.e END, CASE WHEN p.s >= g.e THEN g.done || substr(p.text, g.e + 1, p.s - g.e) || p.rep ELSE g.done END FROM go g JOIN pl2 p ON p.seg_key = g.seg_key AND p.r = g.r + 1),
+last AS (SELECT seg_key, arg_max(done, r) AS done, arg_max(e, r) AS e FROM go GROUP BY seg_key),
+spliced AS (SELECT seg.seg_key, CASE WHEN last.done IS NULL THEN text ELSE last.done || substr(text, last.e + 1) END AS rewritten FROM seg LEFT JOIN last USING (seg_key))"""
+_STARS = "repeat('*', CAST(greatest({0}, 0) AS INT))"
+_HEADC = "CASE WHEN length({0}) <= 1 THEN repeat('*', greatest(length({0}), 1)) ELSE left({0}, 1) || repeat('*', length({0}) - 1) END"
+_HOST = "regexp_replace(v, '^[^@]*@', '')"
+_MASKED = f"""CASE WHEN v = '' THEN '' WHEN category = 'person' THEN CASE WHEN length(v) <= 2 THEN left(v, 1) || '*' ELSE left(v, 1) || {_STARS.format('length(v) - 2')} || right(v, 1) END
+WHEN category IN ('rrn', 'foreign_id') THEN CASE WHEN length(d) >= 2 THEN left(d, 2) || '****-*******' ELSE '******' END
+WHEN category IN ('phone', 'tel') THEN CASE WHEN length(d) >= 8 THEN {_STARS.format('length(d) - 4')} || right(d, 4) WHEN length(d) = 0 THEN {_STARS.format('greatest(length(v), 1)')} ELSE {_STARS.format('length(d)')} END
+WHEN category = 'email' AND contains(v, '@') THEN {_HEADC.format("split_part(v, '@', 1)")} || '@' || CASE WHEN contains({_HOST}, '.') THEN {_HEADC.format("regexp_extract(" + _HOST + ", '^(.*)[.]', 1)")} || regexp_extract({_HOST}, '[.][^.]*$') ELSE {_HEADC.format(_HOST)} END
+WHEN category = 'card' THEN {_STARS.format('length(d) - 4')} || right(d, 4) WHEN category = 'account' THEN {_STARS.format('length(d) - 3')} || right(d, 3)
+WHEN category = 'address' AND regexp_matches(v, '\\S\\s+\\S') AND regexp_matches(split_part(v, ' ', 1), '[시도]$') THEN split_part(v, ' ', 1) || ' ******' ELSE {_HEADC.format('v')} END"""
+
 ORACLE = {
     "p5_found": """
 WITH v AS (SELECT DISTINCT doc_id, seg_id, start_pos AS s, end_pos AS e FROM findings
@@ -399,13 +451,13 @@ e AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) - 1 AS i FROM
 SELECT doc_id, printf('L%05d', i + 1) AS seg_id, CAST(i AS INT) AS ord, 'line' AS kind, regexp_replace(line, '\\r$', '') AS text FROM e""",
     "src_grid": f"""WITH {_SEG}, c AS (SELECT doc_id, table_ctx.table_id AS table_id, table_ctx.row_no AS row_no, table_ctx.col_no AS col_no, seg_id, coalesce(text, '') AS text FROM seg WHERE table_ctx IS NOT NULL)
 SELECT doc_id, table_id, row_no, '| ' || string_agg(text, ' | ' ORDER BY col_no, seg_id) || ' |' AS line FROM c GROUP BY doc_id, table_id, row_no""",
-    "val_resident": f"""WITH {_MAP}, n AS (SELECT rec_id, regexp_replace(map_key, '[^0-9]', '', 'g') AS d FROM m WHERE category = 'rrn' AND map_key IS NOT NULL)
+    "val_resident": f"""WITH {_MAP}, n AS (SELECT rec_id, regexp_replace({_WIDE.format('map_key')}, '[^0-9]', '', 'g') AS d FROM m WHERE category = 'rrn' AND map_key IS NOT NULL)
 SELECT rec_id, d AS digits, length(d) = 13 AND substr(d,7,1) <> '0' AND {_BIRTH} AS shape_ok,
 CASE WHEN length(d) = 13 THEN (11 - ({_SUM('d', [2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5])}) % 11) % 10 = {_DIGIT('d', 13)} ELSE false END AS check_ok,
 length(d) = 13 AND substr(d,7,1) IN ('5','6','7','8') AND {_BIRTH} AS is_foreign FROM n""",
-    "val_business": f"""WITH n AS (SELECT DISTINCT rec_id, regexp_replace(attributes['bizno'], '[^0-9]', '', 'g') AS d FROM registry WHERE attributes['bizno'] IS NOT NULL)
+    "val_business": f"""WITH n AS (SELECT DISTINCT rec_id, regexp_replace({_WIDE.format("attributes['bizno']")}, '[^0-9]', '', 'g') AS d FROM registry WHERE attributes['bizno'] IS NOT NULL)
 SELECT rec_id, d AS digits, CASE WHEN length(d) = 10 THEN (10 - ({_SUM('d', [1, 3, 7, 1, 3, 7, 1, 3, 5])} + {_DIGIT('d', 9)} * 5 // 10) % 10) % 10 = {_DIGIT('d', 10)} ELSE false END AS check_ok FROM n""",
-    "val_luhn": f"""WITH {_SEG}, n AS (SELECT seg_key, regexp_replace(text, '[^0-9]', '', 'g') AS d FROM seg WHERE text IS NOT NULL),
+    "val_luhn": f"""WITH {_SEG}, n AS (SELECT seg_key, regexp_replace({_WIDE.format('text')}, '[^0-9]', '', 'g') AS d FROM seg WHERE text IS NOT NULL),
 k AS (SELECT * FROM n WHERE length(d) BETWEEN 13 AND 19)
 SELECT seg_key, d AS digits, list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(d, length(d) - i + 1, 1) AS INT) ELSE (CAST(substr(d, length(d) - i + 1, 1) AS INT) * 2) // 10 + (CAST(substr(d, length(d) - i + 1, 1) AS INT) * 2) % 10 END)) % 10 = 0 AS ok FROM k""",
     "sc_context_text": f"""WITH {_SEG} SELECT seg_key, CASE WHEN length(table_ctx.header_text) > 0 THEN table_ctx.header_text || ' ' || text ELSE text END AS context FROM seg WHERE text IS NOT NULL""",
@@ -417,7 +469,7 @@ d AS (SELECT category, map_key, text AS original, n_used, row_number() OVER (PAR
 SELECT category, map_key, original, idx, CASE WHEN category IN ('person','org','dept') THEN '[' || CASE category WHEN 'person' THEN '연구자' WHEN 'org' THEN '기관' ELSE '부서' END ||
 CASE WHEN idx < 26 THEN chr(CAST(65 + idx AS INT)) WHEN idx < 702 THEN chr(CAST(65 + (idx - 26) // 26 AS INT)) || chr(CAST(65 + (idx - 26) % 26 AS INT))
 ELSE chr(CAST(65 + (idx - 702) // 676 AS INT)) || chr(CAST(65 + (idx - 702) // 26 % 26 AS INT)) || chr(CAST(65 + (idx - 702) % 26 AS INT)) END || ']'
-ELSE '[' || category || CAST(idx + 1 AS VARCHAR) || ']' END AS pseudonym, n_used FROM d""",
+ELSE '[' || {_NUMBERED} || CAST(idx + 1 AS VARCHAR) || ']' END AS pseudonym, n_used FROM d""",
     "psn_tag": f"""WITH {_MAP} SELECT rec_id, CASE WHEN idx < 26 THEN chr(CAST(65 + idx AS INT)) WHEN idx < 702 THEN chr(CAST(65 + (idx - 26) // 26 AS INT)) || chr(CAST(65 + (idx - 26) % 26 AS INT))
 ELSE chr(CAST(65 + (idx - 702) // 676 AS INT)) || chr(CAST(65 + (idx - 702) // 26 % 26 AS INT)) || chr(CAST(65 + (idx - 702) % 26 AS INT)) END AS tag FROM m WHERE idx IS NOT NULL""",
     "mrg_allow_list": f"""WITH {_FIND}, {_MAP} SELECT finding_id, text FROM f WHERE text IS NOT NULL AND text NOT IN (SELECT original FROM m WHERE n_used > 1 AND original IS NOT NULL)""",
@@ -429,14 +481,58 @@ SELECT h.header, heads.category, count(*) AS n FROM h JOIN heads ON heads.header
 p AS (SELECT doc_id, seg_id, category, unnest(CASE WHEN regexp_matches(t, '^[A-Z][A-Za-z.''\-]+(?: [A-Z][A-Za-z.''\-]+){{1,3}}$') THEN [t] ELSE list_filter(regexp_extract_all(t, '[가-힣]+'), lambda x: length(x) BETWEEN 2 AND 5) END) AS value FROM c WHERE category = 'person')
 SELECT DISTINCT doc_id, seg_id, category, value FROM p UNION SELECT DISTINCT doc_id, seg_id, category, t FROM c WHERE category = 'org' AND length(t) >= 3 OR category = 'dept' AND length(t) > 0""",
     "l3_references": rf"""WITH {_SEG}, s AS (SELECT doc_id, min(ord) AS o FROM seg WHERE regexp_matches(text, '^\s*#{{0,4}}\s*(?:참고문헌|References|인용문헌|참고자료)') GROUP BY doc_id)
-SELECT seg.doc_id, seg_id FROM seg JOIN s ON seg.doc_id = s.doc_id AND ord >= o""",
+SELECT seg_key FROM seg JOIN s ON seg.doc_id = s.doc_id AND ord >= o WHERE trim(text, ' ') <> ''""",
+    "l2_cells": rf"""WITH {_SEG}, {_HEADS}, c AS (SELECT *, trim(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS v, {_HEAD_OF.replace('{0}', 'table_ctx.header_text')} AS category FROM seg WHERE table_ctx IS NOT NULL AND NOT coalesce(table_ctx.is_header, false) AND trim(text, ' ') <> '')
+SELECT seg_key, CAST(instr(text, v) - 1 AS INT) AS start_pos, CAST(instr(text, v) - 1 + length(v) AS INT) AS end_pos, category, '확실' AS grade, '표 머리글 ' || chr(39) || trim(table_ctx.header_text, ' ') || chr(39) AS note, v AS value FROM c
+WHERE category IS NOT NULL AND category NOT IN ('title', 'phone', 'email') AND length(v) >= 2 AND NOT {_PSEUDO.format('v')} AND (category <> 'person' OR {_LATIN.format('v')} OR regexp_full_match(v, '[가-힣]{{2,5}}')) AND {_HELD.format('instr(text, v) - 1', 'instr(text, v) - 1 + length(v)')}""",
+    "l2_labels": rf"""WITH {_LABELLED} SELECT DISTINCT doc_id, seg_id, category, value FROM labelled""",
+    "l2_registry": rf"""WITH {_NAMES}, one AS (SELECT doc_id, category, value, min(struct_pack(part := part, ord := ord, seg_id := seg_id)) AS w FROM names GROUP BY ALL)
+SELECT doc_id, category, value, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY w.part, w.ord, w.seg_id, category, value) AS INT) AS nth FROM one""",
+    "l2_row_attributes": rf"""WITH {_SEG}, {_HEADS}, c AS (SELECT *, trim(text, ' ') AS v, {_HEAD_OF.replace('{0}', 'table_ctx.header_text')} AS category FROM seg WHERE table_ctx IS NOT NULL AND NOT coalesce(table_ctx.is_header, false) AND table_ctx.header_axis = 'col'),
+l AS (SELECT doc_id, part, table_ctx.table_id AS table_id, table_ctx.row_no AS row_no, category, arg_max(v, struct_pack(o := ord, v := v)) AS v FROM c WHERE category IS NOT NULL AND v <> '' GROUP BY ALL)
+SELECT doc_id, part, table_id, row_no, string_agg(category || '=' || v, ';' ORDER BY category) AS attributes FROM l GROUP BY ALL""",
+    "l2_propagate": rf"""WITH RECURSIVE {_NAMES}, reg AS (SELECT DISTINCT doc_id, category, value FROM names),
+form AS (SELECT doc_id, category, value, unnest(list_distinct(list_concat([value], CASE WHEN category = 'org' AND length(trim(regexp_replace(value, '[(（\[].*$', ''), ' ')) >= 2 THEN [trim(regexp_replace(value, '[(（\[].*$', ''), ' ')]
+  WHEN category = 'person' AND regexp_full_match(value, '[가-힣]{{3,}}') THEN list_transform(['*', '○', 'O', '●'], lambda m: left(value, 1) || repeat(m, length(value) - 2) || right(value, 1)) ELSE [] END))) AS variant FROM reg),
+met AS (SELECT seg.seg_key, seg.text, f.* FROM seg JOIN form f ON seg.doc_id = f.doc_id AND contains(seg.text, f.variant) WHERE length(f.variant) >= 2 AND NOT coalesce(seg.table_ctx.is_header, false)),
+pos AS (SELECT *, unnest(range(1, length(text) - length(variant) + 2)) AS i FROM met),
+hit AS (SELECT seg_key, category, value, variant, i - 1 AS s, i - 1 + length(variant) AS e FROM pos WHERE substr(text, i, length(variant)) = variant
+  AND NOT (i > 1 AND regexp_matches(substr(text, i - 1, 1), '[가-힣]') AND regexp_matches(left(variant, 1), '[가-힣]')) AND regexp_matches(substr(text, i + length(variant), 8), '^($|[^가-힣]|{_FOLLOW})')),
+rank AS (SELECT *, row_number() OVER (PARTITION BY seg_key ORDER BY length(variant) DESC, variant, category, s) AS r FROM hit),
+took AS (SELECT seg_key, r, [struct_pack(s := s, e := e)] AS done, true AS mine FROM rank WHERE r = 1
+  UNION ALL SELECT k.seg_key, k.r, CASE WHEN len(list_filter(t.done, lambda x: x.s < k.e AND k.s < x.e)) = 0 THEN list_append(t.done, struct_pack(s := k.s, e := k.e)) ELSE t.done END, len(list_filter(t.done, lambda x: x.s < k.e AND k.s < x.e)) = 0 FROM took t JOIN rank k ON k.seg_key = t.seg_key AND k.r = t.r + 1)
+SELECT seg_key, category, value, CAST(s AS INT) AS start_pos, CAST(e AS INT) AS end_pos FROM rank JOIN took USING (seg_key, r) WHERE mine""",
+    "l3_unique_surnames": rf"""WITH {_NAMES}, p AS (SELECT DISTINCT doc_id, value, regexp_extract(value, '^(({_S2}).|[{SURNAMES}])') AS h FROM names WHERE category = 'person'),
+q AS (SELECT doc_id, value, CASE WHEN regexp_matches(h, '^({_S2}).') THEN left(h, 2) ELSE left(h, 1) END AS surname FROM p WHERE h <> '')
+SELECT doc_id, surname, min(value) AS value FROM q WHERE length(value) > length(surname) GROUP BY ALL HAVING count(*) = 1""",
+    "rul_rules": rf"""WITH {RUNS}, deny(v, c) AS (VALUES ('담당자', 'confidential'), ('협약', 'confidential'), ('Institute', 'org')),
+d AS (SELECT seg_key, text, v, c, unnest(range(1, length(text) - length(v) + 2)) AS i FROM txt JOIN deny ON contains(text, v)),
+money AS (SELECT seg_key, text, unnest(range(1, length(text) + 1)) AS i FROM txt WHERE regexp_matches(text, '예산|연구비|사업비|인건비')),
+cash AS (SELECT seg_key, i - 1 AS s, regexp_extract(substr(text, i), '^\p{{Nd}}{{1,3}}(,\p{{Nd}}{{3}})+\s*(천원|만원|백만원|억원|원)') AS v FROM money WHERE regexp_matches(substr(text, i, 1), '\p{{Nd}}') AND NOT (i > 1 AND regexp_matches(substr(text, i - 1, 1), '\p{{Nd}}'))),
+ask AS (SELECT seg_key, text, regexp_extract(text, '과제\s*번호\s*[:：]\s*([A-Za-z0-9\-]{{6,}})', 0) AS m, regexp_extract(text, '과제\s*번호\s*[:：]\s*([A-Za-z0-9\-]{{6,}})', 1) AS v FROM txt)
+{rule_rows()}""",
+    "pln_apply": f"""WITH RECURSIVE {_SEG}, {_ISSUED}, {_SPLICE.format('pseudonym')} SELECT seg_key, rewritten FROM spliced""",
+    "rst_restore": f"""WITH RECURSIVE {_SEG}, {_ISSUED}, {_SPLICE.format('original')} SELECT seg_key, rewritten AS restored FROM spliced""",
+    "psn_continue": f"""WITH {_MAP}, {_ISSUED}, old AS (SELECT category, max(idx) + 1 AS top FROM m WHERE idx IS NOT NULL GROUP BY category),
+n AS (SELECT i.category, i.map_key, i.original, i.n_used, row_number() OVER (PARTITION BY i.category ORDER BY i.idx) - 1 + coalesce(old.top, 0) AS idx FROM issued i LEFT JOIN old USING (category) WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.idx IS NOT NULL AND m.category = i.category AND m.map_key = i.map_key))
+SELECT category, map_key, original, CAST(idx AS BIGINT) AS idx, {_NAMED} AS pseudonym, n_used FROM n""",
+    "src_chunks": f"""WITH RECURSIVE {_SEG}, s AS (SELECT doc_id, seg_id, length(text) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY ord, seg_id) AS i FROM seg WHERE length(text) > 0 AND NOT coalesce(table_ctx.is_header, false)),
+c AS (SELECT doc_id, seg_id, i, n AS total, CAST(0 AS BIGINT) AS chunk FROM s WHERE i = 1
+  UNION ALL SELECT s.doc_id, s.seg_id, s.i, CASE WHEN c.total + s.n > 500 THEN s.n ELSE c.total + s.n END, c.chunk + CASE WHEN c.total + s.n > 500 THEN 1 ELSE 0 END FROM c JOIN s ON s.doc_id IS NOT DISTINCT FROM c.doc_id AND s.i = c.i + 1)
+SELECT doc_id, seg_id, chunk FROM c""",
+    "ver_leaks": rf"""WITH {_SEG}, {_MAP}, o AS (SELECT DISTINCT original, nfc_normalize(original) AS c, regexp_replace({_WIDE.format('original')}, '[^0-9]', '', 'g') AS d FROM m WHERE length(original) >= 2),
+t AS (SELECT seg_key, text, nfc_normalize(text) AS c, regexp_replace({_WIDE.format('text')}, '[^0-9]', '', 'g') AS d, regexp_replace(nfc_normalize(text), '[\s\p{{Z}}·]', '', 'g') AS k, length(text) > 200 AND contains(text, ' ') AND NOT regexp_matches(text, '[가-힣]') AS far FROM seg WHERE length(text) >= 2)
+SELECT seg_key, original FROM t JOIN o ON contains(t.text, o.original) OR contains(t.c, o.c) OR (NOT far AND length(o.d) >= 7 AND contains(t.d, o.d))
+  OR (NOT far AND o.d = '' AND length(o.c) >= 3 AND contains(t.k, regexp_replace(o.c, '[\s\p{{Z}}·]', '', 'g')) AND regexp_matches(t.c, array_to_string(list_transform(string_split(o.c, ''), lambda x: '[' || x || ']'), '[\s\p{{Z}}·]*')))""",
+    "rpt_masked": f"""WITH {_MAP}, v AS (SELECT rec_id, category, trim(original, ' ') AS v, regexp_replace({_WIDE.format("trim(original, ' ')")}, '[^0-9]', '', 'g') AS d FROM m WHERE original IS NOT NULL) SELECT rec_id, {_MASKED} AS masked FROM v""",
     "pln_mask": f"""WITH {_FIND} SELECT finding_id, repeat('*', end_pos - start_pos) AS replacement FROM f WHERE end_pos > start_pos AND grade = '확실'""",
-    "ver_verdict": f"""WITH {_FIND} SELECT doc_id, count(*) FILTER (WHERE grade = '확실' AND category IN ('rrn','passport')) AS rescans, count(*) FILTER (WHERE category = 'confidential') AS leaks, count(*) FILTER (WHERE category IS NULL) AS blocks,
-count(*) FILTER (WHERE grade = '확실' AND category IN ('rrn','passport') OR category = 'confidential' OR category IS NULL) = 0 AS passed FROM f GROUP BY doc_id""",
-    "ver_context_risk": rf"""WITH {_SEG}, h AS (SELECT *, CASE WHEN regexp_matches(text, '(국내\s*(유일|최초|최대)|세계\s*(최초|유일|최대)|유일(한|하게)?\s*(기관|대학|기업|보유)|단독\s*(보유|수행|운영)|국내에서\s*(유일|처음))') THEN 'context-unique'
-  WHEN regexp_matches(text, '(^|[^0-9])[1-9]\s*명(의)?\s*(연구원|참여|전담|박사|교수)') THEN 'context-small-cohort' END AS code FROM seg),
-n AS (SELECT doc_id, seg_id, part, code, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord, seg_id) AS INT) AS nth FROM h WHERE code IS NOT NULL) SELECT * FROM n WHERE nth <= 20""",
+    "ver_context_risk": rf"""WITH {_SEG}, w AS (SELECT *, regexp_replace(text, '\s+', '', 'g') AS t FROM seg),
+h AS (SELECT *, CASE WHEN regexp_matches(t, '(국내|세계)(유일|최초|최대)|유일(한|하게)?(기관|대학|기업|보유)|단독(보유|수행|운영)|국내에서(유일|처음)') THEN 'context-unique'
+  WHEN regexp_matches(text, '(^|[^0-9])[1-9]\s*명\s*의?\s*(연구원|참여|전담|박사|교수)') THEN 'context-small-cohort' END AS code FROM w),
+n AS (SELECT doc_id, seg_id, part, code, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord, seg_id) AS INT) AS nth FROM h WHERE code IS NOT NULL)
+SELECT * FROM n WHERE nth <= 20 UNION ALL SELECT doc_id, NULL, NULL, 'context-truncated', 21 FROM n WHERE nth = 20""",
     "grd_documents": f"WITH {_GUARD} SELECT * FROM out",
     "grd_run": f"WITH {_GUARD} SELECT level, count(*) AS n_docs, CAST(sum(total) AS BIGINT) AS n_findings FROM out GROUP BY level",
     "rpt_by_category": f"""WITH {_FIND} SELECT category, count(*) FILTER (WHERE grade = '확실') AS certain, count(*) FILTER (WHERE grade = '추정') AS likely, count(*) FILTER (WHERE grade = '검토') AS review, count(*) AS total FROM f WHERE category IS NOT NULL GROUP BY category""",
 }
+ORACLE |= L1
