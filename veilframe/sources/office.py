@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.lexicon import HEADER_CATEGORY
 from veilframe.operators import nested
+from veilframe.sources import xmltext
 
 MAX_BYTES = 64 << 20
 SCHEMA = "doc_id string, seg_id string, ord int, part string, kind string, text string, table_id string, row_no int, col_no int, header_text string, is_header boolean, error string"
@@ -109,6 +110,27 @@ def _paragraph(p) -> str:
     return "".join(out)
 
 
+def orientation(grid: list[list[str]]) -> str:
+    """Where a table's headers stand: 'col' in the first row, 'row' in the first column, '' nowhere.
+
+    Known headers decide; else the share of short cells without digits, if it is half at least or leads by 0.3. A single
+    row or column has none.
+    """
+    if len(grid) < 2 or max(map(len, grid), default=0) < 2:
+        return ""
+    first = {"col": grid[0], "row": [r[0] for r in grid if r]}
+    known = {k: sum(re.sub(r"\s+", "", c) in HEADER_CATEGORY for c in v) for k, v in first.items()}
+    if known["col"] != known["row"]:
+        return max(known, key=known.get)
+    if known["col"]:
+        return "col"
+    label = lambda c: 0 < len(c.strip()) <= 12 and not re.search(r"\d", c)
+    share = {k: sum(map(label, v)) / max(1, len(v)) for k, v in first.items()}
+    if share["row"] - share["col"] > 0.3:
+        return "row"
+    return "col" if share["col"] >= 0.5 or share["col"] - share["row"] > 0.3 else ""
+
+
 def read_docx(z: zipfile.ZipFile) -> list[tuple]:
     names = z.namelist()
     main = "word/document.xml"
@@ -132,11 +154,12 @@ def read_docx(z: zipfile.ZipFile) -> list[tuple]:
                     n_tables += 1
                     table = f"T{n_tables}"
                     rows = [[c for c in r if _name(c) == "tc"] for r in k if _name(r) == "tr"]
-                    named = len(rows) > 1 and max(map(len, rows), default=0) > 1
-                    heads = ["".join(_paragraph(p) for p in c.iter() if _name(p) == "p") for c in rows[0]] if named else []
+                    texts = [["".join(_paragraph(p) for p in c.iter() if _name(p) == "p") for c in cells] for cells in rows]
+                    axis = orientation(texts)
                     for r, cells in enumerate(rows):
                         for c, cell in enumerate(cells):
-                            walk(cell, (table, r, c), heads[c] if named and r and c < len(heads) else "", named and r == 0)
+                            head = texts[0][c] if axis == "col" and r and c < len(texts[0]) else texts[r][0] if axis == "row" and c else ""
+                            walk(cell, (table, r, c), head, axis == "col" and r == 0 or axis == "row" and c == 0)
                 else:
                     walk(k, at, header, is_header)
 
@@ -180,6 +203,47 @@ def read_hwpx(z: zipfile.ZipFile) -> list[tuple]:
     return out
 
 
+# Attributes that hold no text, side members that do, packages that may be embedded.
+NO_TEXT = "id rid rsidr rsidrdefault rsidp uri type target val ref style w h x y cx cy sqref r s t spans space lang font ascii hansi eastasia typeface guid"
+SIDE = re.compile(r"(?:docProps/(?:core|app|custom)|word/comments\w*|xl/comments\d*|xl/threadedComments/[^/]+|ppt/comments/[^/]+|xl/workbook|ppt/(?:slideMasters|slideLayouts)/[^/]+)\.xml$")
+EMBEDDED = re.compile(r"\.(?:xlsx|xlsm|docx|pptx|pptm)$", re.IGNORECASE)
+_STAMP = re.compile(r"\{?[0-9A-Fa-f]{8}-[0-9A-Fa-f-]{27}\}?|\d{4}-\d\d-\d\dT[\d:.]+Z?")
+
+
+def has_content(value: str) -> bool:
+    """A value that may say something about somebody: Hangul, an address sign, or two words; no identifiers or time stamps."""
+    bare = _STAMP.sub("", value).strip()
+    return bool(re.search("[가-힣@]", bare)) or " " in bare and bool(re.search("[A-Za-z]{2}", bare))
+
+
+def hidden(z: zipfile.ZipFile) -> list[tuple]:
+    """Text that no paragraph shows: attributes of all members, and what stands in properties, comments and masters."""
+    out = []
+    for name in z.namelist():
+        if not name.endswith(".xml") or z.getinfo(name).file_size > MAX_BYTES:
+            continue
+        xml = z.read(name).decode("utf-8-sig", "replace")
+        found = [v for n, v, _, _ in xmltext.attribute_values(xml) if n.lower() not in NO_TEXT.split() and len(v) <= 200 and has_content(v)]
+        if SIDE.match(name):
+            found += [t.strip() for t in xmltext.chunks(xml) if t.strip() and (has_content(t) or re.fullmatch("[A-Za-z][A-Za-z .'-]+", t.strip()))]
+        out += [(f"H{i:05d}:{name}", name, "hidden", v, None, None, None, None, None) for i, v in enumerate(dict.fromkeys(found))]
+    return out
+
+
+def embedded(z: zipfile.ZipFile, depth: int = 0) -> list[tuple]:
+    """Segments of packages within the package, their ids after the member's name. One that cannot be read makes the whole unreadable."""
+    out = []
+    for name in z.namelist():
+        if EMBEDDED.search(name):
+            if depth >= 3:
+                raise Unsupported("embedded too deep")
+            with zipfile.ZipFile(io.BytesIO(z.read(name))) as inner:
+                kind = next(k for s, k in SUFFIXES.items() if name.lower().endswith(s))
+                rows = READERS[kind](inner) + hidden(inner) + embedded(inner, depth + 1)
+            out += [(f"{name}>{r[0]}", f"{name}>{r[1]}", *r[2:]) for r in rows]
+    return out
+
+
 READERS = {"xlsx": read_xlsx, "docx": read_docx, "pptx": read_pptx, "hwpx": read_hwpx}
 
 
@@ -192,7 +256,7 @@ def read(path: str, content: bytes) -> list[tuple]:
         if kind is None:
             raise Unsupported("format")
         with zipfile.ZipFile(io.BytesIO(content)) as z:
-            rows = READERS[kind](z)
+            rows = READERS[kind](z) + hidden(z) + embedded(z)
     except Exception as e:  # whatever is wrong with a file, its row says so; the message holds no text of it
         rows, error = [], f"{type(e).__name__}" + (f": {e}" if isinstance(e, Unsupported) else "")
     if error or not rows:
