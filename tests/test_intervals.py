@@ -47,3 +47,25 @@ def test_against_brute_force(spark, seed):
         rows.append((f"d{r.randint(0, 40)}", None if i % 50 == 0 else "x", a, a + r.choice([0, 1, r.randint(1, 64), 64, 65_536, 131_072, r.randint(1, 300), r.randint(1, 200_000)])))
     rows += [("edge", "x", -(2**31), 2**31 - 1), ("edge2", "x", 2**31 - 2, 2**31 - 1), ("edge2", "x", -(2**31), -(2**31) + 1)]
     assert run(spark, rows) == brute(rows)
+
+
+def test_long_intervals_stay_runs(spark):
+    import random
+
+    day = 86_400_000_000
+    r = random.Random(4)
+    rows = [("a", 0, 365 * day), ("a", 366 * day, 366 * day + 5), ("a", 366 * day + 7, 800 * day), ("a", 3 * day, 3 * day + 9), ("b", 5, 6), (None, -400 * day, -day), (None, -day + 3, day)]
+    rows += [("c", s, s + r.choice([3, 70_000, 10_000_000, day])) for s in (r.randrange(20 * day) for _ in range(200))]
+    want = set()
+    for k in ("a", "b", "c", None):
+        end = None
+        for s, e in sorted((s, e) for x, s, e in rows if x == k):
+            if end is None or s > end[1]:
+                if end:
+                    want |= {(k, "cover", *end), (k, "gap", end[1], s)}
+                end = [s, e]
+            else:
+                end[1] = max(end[1], e)
+        want.add((k, "cover", *end))
+    got = coverage(spark.createDataFrame(rows, "k string, s long, e long"), ["k"], "s", "e").collect()
+    assert {(x.k, x.kind, x.s, x.e) for x in got} == want and len(got) == len(want)

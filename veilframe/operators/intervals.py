@@ -5,8 +5,8 @@ each shard into 64-bit words. An interval leaves at most: a mask in its first wo
 of full words inside its first and last shard, and one run of full shards. Masks of a word unite by ``bit_or`` and
 runs by ``max(end)``, both before the shuffle, so what an (entity, shard) can send is bounded by its number of
 words whatever the number of rows: a hot entity does not make a large task. Set runs are then read out of each
-shard; only a shard's first and last run go to the stitching of an entity's shards (at most two rows per shard, so at
-most 2**17 rows of an entity on a 32-bit axis).
+shard; only a shard's first and last run and the runs of full shards go to the stitching of an entity (at most two rows
+for a shard in which an interval begins or ends). A long interval is a run, not a row for each of its shards.
 
 Defined results: a row with a null bound or with end <= start covers nothing. Null entity keys form an entity of
 their own. Negative positions are ordinary positions. Repeated and equal rows change nothing. Other columns are
@@ -76,18 +76,17 @@ def coverage(intervals: DataFrame, keys: list[str], start: str, end: str) -> Dat
     )
     flat = united.select(*ks, "level", F.explode(runs).alias("r")).select(*ks, "level", F.col("r.s").alias("s"), F.col("r.e").alias("e"))
 
-    # Runs of full shards, joined first (at most one row per shard of the axis), then given to each of their shards.
+    # Runs of full shards stay runs, however long. What else lies in their shards is covered and goes.
     full = _islands(flat.filter(F.col("level") == 2).select(*ks, "s", "e"), ks)
-    full = full.select(*ks, F.explode(F.sequence(F.expr(shard_of("s")), F.expr(shard_of("e - 1")))).alias("shard"))
-    full = full.select(*ks, F.expr(f"shiftleft(shard, {SHARD_BITS})").alias("s"), F.expr(f"shiftleft(shard + 1, {SHARD_BITS})").alias("e"), "shard")
-    inside = flat.filter(F.col("level") < 2).select(*ks, "s", "e", F.expr(shard_of("s")).alias("shard")).unionByName(full)
+    inside = flat.filter(F.col("level") < 2).select(*ks, "s", "e", F.expr(shard_of("s")).alias("shard"))
     local = _islands(inside, [*ks, "shard"])
+    local = _without(local, _covered(local, full, ks), [*ks, "shard"])
     order = Window.partitionBy(*ks, "shard").orderBy("s")
     local = local.withColumns({"before": F.lag("e").over(order), "after": F.lead("s").over(order)})
     is_edge = F.col("before").isNull() | F.col("after").isNull()
     cover = F.struct(F.lit("cover").alias("kind"), "s", "e")
     gap = F.struct(F.lit("gap").alias("kind"), F.col("before").alias("s"), F.col("s").alias("e"))
-    across = _islands(local.filter(is_edge).select(*ks, "s", "e"), ks).withColumn("before", F.lag("e").over(Window.partitionBy(*ks).orderBy("s")))
+    across = _islands(local.filter(is_edge).select(*ks, "s", "e").unionByName(full.select(*ks, "s", "e")), ks).withColumn("before", F.lag("e").over(Window.partitionBy(*ks).orderBy("s")))
     # The last position before a gap and the first after it lie in one shard only if that shard gave the gap.
     new_gap = F.col("before").isNotNull() & (F.expr(shard_of("before - 1")) != F.expr(shard_of("s")))
     give = lambda df, covers, gaps: df.select(*ks, F.explode(F.filter(F.array(F.when(covers, cover), F.when(gaps, gap)), lambda x: x.isNotNull())).alias("x")).select(*ks, "x.*")
@@ -98,6 +97,47 @@ def coverage(intervals: DataFrame, keys: list[str], start: str, end: str) -> Dat
     )
 
 
+def _same(left: DataFrame, right: DataFrame, by: list[str]):
+    """Join condition on keys of which null is one."""
+    out = F.lit(True)
+    for c in by:
+        out = out & left[c].eqNullSafe(right[f"{c}_r"])
+    return out
+
+
+def _without(rows: DataFrame, gone: DataFrame, by: list[str]) -> DataFrame:
+    right = gone.select(*(F.col(c).alias(f"{c}_r") for c in by))
+    return rows.join(right, _same(rows, right, by), "left_anti")
+
+
+#: Levels of dyadic blocks: enough for every 64-bit position.
+LEVELS = 64 - SHARD_BITS
+
+
+def _covered(local: DataFrame, full: DataFrame, ks: list[str]) -> DataFrame:
+    """Rows (*ks, shard): shards of ``local`` that lie in a run of full shards.
+
+    A run is cut into dyadic blocks, at most two a level; a shard lies in one block of each level. So a range meets its
+    shards by equality. Only shards of entities that have a full run at all are looked up.
+    """
+    lo, hi = F.expr(f"shiftright(s, {SHARD_BITS})"), F.expr(f"shiftright(e, {SHARD_BITS})")
+    # Blocks of level l that stick out at the start (odd index) or at the end of what is left of the run.
+    runs = full.select(*ks, lo.alias("a"), hi.alias("z"))
+    levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
+    at = lambda x, l, up: F.call_function("shiftright", F.col(x) + (F.call_function("shiftleft", F.lit(1).cast("long"), l) - 1 if up else 0), l)
+    pair = lambda l: F.struct(l.alias("l"), at("a", l, True).alias("x"), at("z", l, False).alias("y"))
+    pieces = runs.select(*ks, F.explode(F.transform(levels, pair)).alias("p")).select(*ks, "p.*").filter("x < y")
+    # At its level a run covers blocks x..y-1; those with a parent that is covered too are left to the parent.
+    inner = F.filter(F.array(F.when(F.col("x") % 2 != 0, F.col("x")), F.when((F.col("y") % 2 != 0) & ((F.col("y") - 1 != F.col("x")) | (F.col("x") % 2 == 0)), F.col("y") - 1)), lambda v: v.isNotNull())
+    blocks = pieces.select(*ks, "l", F.explode(inner).alias("b"))
+    own = local.select(*ks, "shard").distinct()
+    some = full.select(*(F.col(c).alias(f"{c}_r") for c in ks)).distinct()
+    own = own.join(some, _same(own, some, ks), "left_semi")
+    own = own.select(*ks, "shard", F.explode(levels).alias("l")).withColumn("b", F.expr("shiftright(shard, l)"))
+    right = blocks.select(*(F.col(c).alias(f"{c}_r") for c in (*ks, "l", "b")))
+    return own.join(right, _same(own, right, [*ks, "l", "b"]), "left_semi").select(*ks, "shard").distinct()
+
+
 def _islands(runs: DataFrame, by: list[str]) -> DataFrame:
     """Runs that touch or overlap, joined."""
     order = Window.partitionBy(*by).orderBy("s", "e")

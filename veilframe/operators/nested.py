@@ -272,6 +272,14 @@ def unreadable(nodes: DataFrame) -> DataFrame:
     return nodes.filter(F.col("kind") == "unreadable").select("doc_id", "member", "reason")
 
 
+def store(nodes: DataFrame, path: str) -> None:
+    """Every structural variant in a table of its own: folders by role and variant, below a common root.
+
+    A reader of one variant opens its folder alone; a reader of a role or of everything sees the common columns.
+    """
+    nodes.write.partitionBy("kind", "variant").mode("errorifexists").parquet(path)
+
+
 def linked_paragraphs(parts: DataFrame, packages: DataFrame, segments: DataFrame) -> DataFrame:
     """Paragraphs of trees, package entries that no tree gives, and table cells of segments, each once.
 

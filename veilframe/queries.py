@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veilframe import fixtures
 from veilframe.config import SAMPLE_RULES, Config
 from veilframe.functions import checks
 from veilframe.functions.lexicon import HEADER_CATEGORY, HEADERS, NUMBERED, PARTICLES, SURNAMES, SURNAMES_2, TITLES, UNSURE_SURNAMES
 from veilframe.operators import audit, context, detectors, documents, intervals, mapping, meet, merge, nested, pipeline, rewrite, structure
-from veilframe.oracles import L1, RUNS, rule_rows
+from veilframe.oracles import L1, RUNS, SEG, rule_rows
 from veilframe.session import ensure_checkpoint_dir, table
 from veilframe.sources import text
 
@@ -342,6 +343,12 @@ def grd_documents(spark, sf_dir):
     return audit.guard(_segments(spark, sf_dir), _findings(spark, sf_dir).filter("category is not null"))
 
 
+def grd_packages(spark, sf_dir):
+    """Packages with the first reason why a member could not be read: unchecked, never clean."""
+    docs = table(spark, sf_dir, "hwpx_docs").select("doc_id", F.get("parse_errors", F.lit(0))["reason"].alias("error"))
+    return audit.guard(docs, _findings(spark, sf_dir).select("doc_id", "category"), error="error")
+
+
 def grd_run(spark, sf_dir):
     """How many documents have each level."""
     return grd_documents(spark, sf_dir).groupBy("level").agg(F.count("*").alias("n_docs"), F.sum("total").alias("n_findings"))
@@ -367,11 +374,62 @@ def flagship(spark, sf_dir):
     return audit.guard(s.select("doc_id"), documents.detected(s, Config(rules=SAMPLE_RULES)).select("doc_id", "category"))
 
 
+def _fixture_query(name):
+    def query(spark, sf_dir):
+        found = detectors.candidates(fixtures.table(spark), header=F.col("table_ctx.header_text"), pieces=F.col("pieces"), only=(name,))
+        out = detectors.exploded(found, "seg_key").select("seg_key", "start_pos", "end_pos", "category", "grade", "note", "value")
+        return out.filter("note <> '말로 풀어 쓴 전자우편'") if name == "email" else out
+
+    query.__name__ = f"fx_{name}"
+    query.__doc__ = f"Candidates of the detector {name} in the invented rows."
+    return query
+
+
+def fx_context_risk(spark, sf_dir):
+    """Warnings of uniqueness and of small groups in the invented rows."""
+    return audit.context_risk(fixtures.table(spark))
+
+
+def fx_references(spark, sf_dir):
+    """Invented rows at or after their document's list of references."""
+    ensure_checkpoint_dir(spark)
+    return documents.in_references(documents.scanned(fixtures.table(spark), layers=("L2",)).checkpoint())
+
+
+#: Names under which the deny list holds values that the invented rows and the given segments do hold.
+def rul_terms(spark, sf_dir):
+    """A deny list that hits, met by the join: the categories' words in all segments."""
+    terms = spark.createDataFrame([(w,) for w in ("연구원", "과제번호", "Research", "010-", "센터")], "term string")
+    return meet.contains(_segments(spark, sf_dir), terms, "seg_key", "text", "term")
+
+
+def p1_paragraphs(spark, sf_dir):
+    """Every paragraph of every readable tree with its member, table, cell and the paragraph around it."""
+    return nested.paragraphs(nested.flatten(table(spark, sf_dir, "xml_parts"), ("paragraph",), with_text=False)).drop("text", "variant").distinct()
+
+
+def p1_cells(spark, sf_dir):
+    """Every cell of every readable tree, with or without a paragraph in it."""
+    return nested.cells(nested.flatten(table(spark, sf_dir, "xml_parts"), ("cell",), with_text=False)).distinct()
+
+
+def p1_unreadable(spark, sf_dir):
+    """Trees that cannot be read, and why."""
+    return nested.unreadable(nested.flatten(table(spark, sf_dir, "xml_parts"), ("unreadable",), with_text=False)).distinct()
+
+
+def p1_segment_tables(spark, sf_dir):
+    """The tables that cells of segments name, with their extent."""
+    c = F.col("table_ctx")
+    s = _segments(spark, sf_dir).filter(c.isNotNull())
+    return s.groupBy("doc_id", "part", c["table_id"].alias("table_id")).agg(F.count("*").alias("n_cells"), F.max(c["row_no"]).alias("last_row"), F.max(c["col_no"]).alias("last_col"))
+
+
 _OWN = (
-    p1_found, p1_tables, p1_variants, p5_found, l1_email, l1_spoken_email, l1_email_values, src_lines, src_markdown_cells, src_grid, src_chunks, val_resident, val_business, val_luhn,
+    fx_context_risk, fx_references, rul_terms, p1_paragraphs, p1_cells, p1_unreadable, p1_segment_tables, *map(_fixture_query, detectors.DETECTORS), p1_found, p1_tables, p1_variants, p5_found, l1_email, l1_spoken_email, l1_email_values, src_lines, src_markdown_cells, src_grid, src_chunks, val_resident, val_business, val_luhn,
     sc_mapping_key, sc_context_text, psn_tag, psn_issue, psn_continue, mrg_findings, mrg_values, mrg_allow_list, rul_deny_list, rul_rules, l2_header_category, l2_harvest, l2_cells, l2_labels, l2_registry,
     l2_row_attributes, l2_propagate, l3_unique_surnames, l3_surname_mentions, l3_given_names, l3_references, l3_people, l3_organisations, l3_departments, l3_short_universities,
-    pln_apply, pln_mask, swp_sweep, rst_restore, ver_leaks, ver_verdict, ver_rescan, pub_published, ver_context_risk, grd_documents, grd_run, rpt_by_category, rpt_masked, rpt_samples, flagship,
+    pln_apply, pln_mask, swp_sweep, rst_restore, ver_leaks, ver_verdict, ver_rescan, pub_published, ver_context_risk, grd_documents, grd_packages, grd_run, rpt_by_category, rpt_masked, rpt_samples, flagship,
 )
 QUERIES = {f.__name__: f for f in (*_OWN, *(_detector_query(d) for d in detectors.DETECTORS if d != "email"))}
 
@@ -536,3 +594,15 @@ SELECT * FROM n WHERE nth <= 20 UNION ALL SELECT doc_id, NULL, NULL, 'context-tr
     "rpt_by_category": f"""WITH {_FIND} SELECT category, count(*) FILTER (WHERE grade = '확실') AS certain, count(*) FILTER (WHERE grade = '추정') AS likely, count(*) FILTER (WHERE grade = '검토') AS review, count(*) AS total FROM f WHERE category IS NOT NULL GROUP BY category""",
 }
 ORACLE |= L1
+# The same SQL over the invented rows.
+ORACLE |= {"fx_" + name.removeprefix("l1_"): text.replace(SEG, fixtures.sql()) for name, text in L1.items()}
+ORACLE |= {"fx_context_risk": ORACLE["ver_context_risk"].replace(_SEG, fixtures.sql()), "fx_references": ORACLE["l3_references"].replace(_SEG, fixtures.sql())}
+ORACLE |= {
+    "grd_packages": f"""WITH {_FIND}, g AS (SELECT doc_id, count(*) AS total, max({_RANK}) AS r FROM f GROUP BY doc_id), docs AS (SELECT doc_id, bool_and(len(coalesce(parse_errors, [])) = 0 OR parse_errors[1].reason IS NULL) AS checked FROM hwpx_docs GROUP BY doc_id)
+SELECT docs.doc_id, coalesce(total, 0) AS total, checked, {_LEVEL.format('r')} AS level FROM docs LEFT JOIN g USING (doc_id)""",
+    "rpt_samples": f"""WITH {_FIND}, v AS (SELECT category, trim(text, ' ') AS v, regexp_replace({_WIDE.format("trim(text, ' ')")}, '[^0-9]', '', 'g') AS d, doc_id, seg_id, finding_id FROM f WHERE category IS NOT NULL AND trim(text, ' ') <> ''),
+k AS (SELECT category, {_MASKED} AS sample, min(struct_pack(a := doc_id, b := seg_id, c := finding_id)) AS o FROM v GROUP BY 1, 2),
+n AS (SELECT category, CAST(row_number() OVER (PARTITION BY category ORDER BY o.a, o.b, o.c, sample) AS INT) AS rank, sample FROM k) SELECT * FROM n WHERE rank <= 3""",
+    "rul_terms": f"WITH {_SEG}, t(term) AS (VALUES ('연구원'), ('과제번호'), ('Research'), ('010-'), ('센터')) SELECT DISTINCT seg_key, term FROM seg JOIN t ON contains(seg.text, t.term)",
+    "p1_segment_tables": f"WITH {_SEG} SELECT doc_id, part, table_ctx.table_id AS table_id, count(*) AS n_cells, max(table_ctx.row_no) AS last_row, max(table_ctx.col_no) AS last_col FROM seg WHERE table_ctx IS NOT NULL GROUP BY ALL",
+}
