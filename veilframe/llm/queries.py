@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilframe.llm import canonical, copies, mixing, names, packing, pii, reading, tokens
+from veilframe.llm.lookalike import mapping
 from veilframe.session import ensure_checkpoint_dir, table
 
 
@@ -122,4 +123,20 @@ def p8_profile(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_entities, p4_found, p4_canonical, p6_packed, p6_packed_by_source, p6_usage, p7_selected, p7_shares, p8_found, p8_levels, p8_levels_named, p8_profile)}
 
-ORACLE: dict[str, str] = {}
+
+
+def _forms_sql() -> str:
+    """Relations signs (each code point that looks like others, made by rule) and form (of every text, in DuckDB)."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    signs = ", ".join(f"(chr({ord(ch)}), {q(to)})" for ch, to in mapping().items() if ord(ch))
+    return f"""signs(ch, shown) AS (VALUES {signs}),
+txt AS (SELECT DISTINCT 'segments' AS table_name, seg_key AS row_id, CAST(NULL AS VARCHAR) AS category, text AS t FROM segments UNION ALL SELECT DISTINCT 'mapping', rec_id, category, map_key FROM mapping),
+one AS (SELECT DISTINCT t FROM txt WHERE t IS NOT NULL), pos AS (SELECT t, unnest(range(1, length(t) + 1)) AS i FROM one), ch AS (SELECT t, i, substr(t, i, 1) AS c FROM pos),
+shown AS (SELECT t, nfc_normalize(string_agg(coalesce(signs.shown, c), '' ORDER BY i)) AS form FROM ch LEFT JOIN signs ON signs.ch = c GROUP BY t UNION ALL SELECT '', '')"""
+
+
+ORACLE: dict[str, str] = {
+    "p4_canonical": f"WITH {_forms_sql()} SELECT DISTINCT table_name, row_id, category, form FROM txt LEFT JOIN shown USING (t)",
+    "p4_found": f"""WITH {_forms_sql()}, f AS (SELECT DISTINCT table_name, row_id, coalesce(category, '') AS category, t, form FROM txt JOIN shown USING (t))
+SELECT DISTINCT a.table_name, a.row_id AS id_a, b.row_id AS id_b FROM f a JOIN f b ON a.table_name = b.table_name AND a.category = b.category AND a.form = b.form AND a.row_id < b.row_id AND a.t <> b.t""",
+}
