@@ -28,7 +28,9 @@ from veilframe.operators.components import connected_components, lookup
 
 SHINGLE = 5
 LEAST = 0.8
-BANDS, ROWS = 10, 4
+BANDS, ROWS = 12, 5
+#: Ids are hashed to so many numbers before texts are fetched.
+BUCKETS = 1 << 18
 #: Share of equal signature values below which a pair is not confirmed; two deviations under LEAST.
 ESTIMATE = 0.65
 _WORD = re.compile(r"\w+")
@@ -38,27 +40,30 @@ _B = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(text: str, seen: dict[str, int] | None = None) -> np.ndarray:
-    """Distinct 64-bit hashes of the text's shingles, sorted."""
-    seen = {} if seen is None else seen
+class Hashes(dict):
+    """64-bit hashes of words; kept, because words come again."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        raw = word.encode()
+        self[word] = h = zlib.crc32(raw) << 32 | zlib.adler32(raw)
+        return h
+
+
+def shingles(text: str, seen: Hashes | None = None, distinct: bool = True) -> np.ndarray:
+    """64-bit hashes of the text's shingles, each once and sorted if ``distinct``."""
+    seen = Hashes() if seen is None else seen
     words = _WORD.findall(text.lower())
     if not words:
         return np.empty(0, np.uint64)
-    if len(seen) > 500_000:  # a cache only
-        seen.clear()
-    own = np.empty(len(words), np.uint64)
-    for i, w in enumerate(words):
-        h = seen.get(w)
-        if h is None:
-            raw = w.encode()
-            h = seen[w] = zlib.crc32(raw) << 32 | zlib.adler32(raw)
-        own[i] = h
+    own = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
     n = min(SHINGLE, len(own))
     total = np.zeros(len(own) - n + 1, np.uint64)
     for j in range(n):
         total = (total ^ own[j : len(own) - n + 1 + j]) * _MIX
         total ^= total >> np.uint64(29)
-    return np.unique(total)
+    return np.unique(total) if distinct else total
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -89,7 +94,7 @@ def _sets(texts: DataFrame) -> DataFrame:
     """Rows (copy_key, s): the shingle sets of (copy_key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int] = {}
+        seen = Hashes()
         for batch in batches:
             sets = [shingles(t, seen).view(np.int64).tolist() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["copy_key", "s"])
@@ -127,7 +132,11 @@ def clustered(items: DataFrame, documents: DataFrame) -> DataFrame:
     if not n_pairs:
         return items.drop("bands", "sig")
     wanted = pairs.select(F.col("a").alias("copy_key")).unionByName(pairs.select(F.col("b").alias("copy_key"))).distinct()
-    texts = nodes.select("copy_key", "doc_id").join(wanted, "copy_key", "left_semi").join(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id").groupBy("copy_key").agg(F.max("text").alias("text"))
+    need = nodes.select("copy_key", "doc_id").join(wanted, "copy_key", "left_semi").checkpoint()
+    # Texts whose hashed id no wanted document has stay where they are; the table of hashes is bounded by BUCKETS.
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("_h")
+    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_h", bucket).join(F.broadcast(need.select(bucket).distinct()), "_h", "left_semi").drop("_h")
+    texts = need.join(own, "doc_id").groupBy("copy_key").agg(F.max("text").alias("text"))
     sets = _sets(texts).checkpoint()
     both = lookup(pairs, "a", sets.select(F.col("copy_key").alias("ka"), F.col("s").alias("sa")), "ka", n_pairs)
     both = lookup(both, "b", sets.select(F.col("copy_key").alias("kb"), F.col("s").alias("sb")), "kb", n_pairs)

@@ -51,14 +51,14 @@ def measure(documents: DataFrame, vocabulary: str = VOCABULARY, near: bool = Fal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import blake2b
 
-        enc, seen = encoder(vocabulary), {}
+        enc, seen = encoder(vocabulary), copies.Hashes()
         for batch in batches:
             texts = batch.column(2).to_pylist()
             sizes = [len(enc.encode_ordinary(t)) if t else 0 for t in texts]
             keys = [int.from_bytes(blake2b(_SPACE.sub(" ", t).strip().lower().encode(), digest_size=8).digest(), "big", signed=True) if t else None for t in texts]
             cols = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array([quality(t or "") for t in texts], pa.float64()), pa.array(keys, pa.int64())]
             if near:
-                sigs = [copies.signature(copies.shingles(t, seen)) if t else [] for t in texts]
+                sigs = [copies.signature(copies.shingles(t, seen, distinct=False)) if t else [] for t in texts]
                 cols += [pa.array([copies.bands(x) if len(x) else [] for x in sigs], pa.list_(pa.int64())), pa.array([x.tobytes() if len(x) else None for x in sigs], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
