@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from veilframe.session import ensure_checkpoint_dir
 
 HOT_PARTS = 1000
-#: A key with fewer rows than this is never hot.
-HOT_LEAST = 10_000
+#: A key with fewer rows than this is never hot: as many of these narrow rows are a small task.
+HOT_LEAST = 1_000_000
 
 
 def lookup(rows: DataFrame, key: str, values: DataFrame, at: str, n_rows: int) -> DataFrame:
