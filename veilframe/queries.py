@@ -160,6 +160,14 @@ def mrg_values(spark, sf_dir):
     return out.withColumn("detectors", F.array_join("detectors", ","))
 
 
+def mrg_recorded(spark, sf_dir):
+    """Recorded findings of each segment, resolved to one list."""
+    f = _findings(spark, sf_dir).filter("start_pos >= 0 and end_pos > start_pos")
+    one = F.struct("finding_id", "start_pos", "end_pos", "category", "grade", "detectors", F.lit("").alias("note"))
+    per = f.groupBy("doc_id", "seg_id").agg(F.array_sort(F.collect_list(one)).alias("candidates")).withColumn("text", F.lit(""))
+    return merge.merged(per, ["doc_id", "seg_id"]).select("doc_id", "seg_id", "start_pos", "end_pos", "category", "grade", F.array_join("detectors", ",").alias("detectors"), "note")
+
+
 def mrg_allow_list(spark, sf_dir):
     """Recorded findings whose text no mapping entry that was used more than once holds."""
     allow = _mapping(spark, sf_dir).filter("n_used > 1 and original is not null").select(F.col("original").alias("text")).distinct()
@@ -427,7 +435,7 @@ def p1_segment_tables(spark, sf_dir):
 
 _OWN = (
     fx_context_risk, fx_references, rul_terms, p1_paragraphs, p1_cells, p1_unreadable, p1_segment_tables, *map(_fixture_query, detectors.DETECTORS), p1_found, p1_tables, p1_variants, p5_found, l1_email, l1_spoken_email, l1_email_values, src_lines, src_markdown_cells, src_grid, src_chunks, val_resident, val_business, val_luhn,
-    sc_mapping_key, sc_context_text, psn_tag, psn_issue, psn_continue, mrg_findings, mrg_values, mrg_allow_list, rul_deny_list, rul_rules, l2_header_category, l2_harvest, l2_cells, l2_labels, l2_registry,
+    sc_mapping_key, sc_context_text, psn_tag, psn_issue, psn_continue, mrg_findings, mrg_values, mrg_recorded, mrg_allow_list, rul_deny_list, rul_rules, l2_header_category, l2_harvest, l2_cells, l2_labels, l2_registry,
     l2_row_attributes, l2_propagate, l3_unique_surnames, l3_surname_mentions, l3_given_names, l3_references, l3_people, l3_organisations, l3_departments, l3_short_universities,
     pln_apply, pln_mask, swp_sweep, rst_restore, ver_leaks, ver_verdict, ver_rescan, pub_published, ver_context_risk, grd_documents, grd_packages, grd_run, rpt_by_category, rpt_masked, rpt_samples, flagship,
 )
@@ -597,7 +605,32 @@ ORACLE |= L1
 # The same SQL over the invented rows.
 ORACLE |= {"fx_" + name.removeprefix("l1_"): text.replace(SEG, fixtures.sql()) for name, text in L1.items()}
 ORACLE |= {"fx_context_risk": ORACLE["ver_context_risk"].replace(_SEG, fixtures.sql()), "fx_references": ORACLE["l3_references"].replace(_SEG, fixtures.sql())}
+_TRUST = "coalesce(list_min(list_transform({0}, lambda d: CASE d WHEN 'rule' THEN 0 WHEN 'L1' THEN 1 WHEN 'L2' THEN 2 WHEN 'L3' THEN 3 WHEN 'L4' THEN 4 ELSE 9 END)), 9)"
+_BOTH = "list_sort(list_distinct(list_concat(c.dets, f.dets)))"
+_MERGE = f"""CASE WHEN c.s = f.s AND c.e = f.e THEN struct_pack(s := c.s, e := c.e, cat := CASE WHEN f.r < c.r THEN f.cat ELSE c.cat END, grade := CASE WHEN f.grade = '확실' THEN f.grade ELSE c.grade END, dets := {_BOTH}, r := least(c.r, f.r), note := CASE WHEN f.r < c.r THEN f.note ELSE c.note END)
+WHEN c.s <= f.s AND f.e <= c.e THEN struct_pack(s := c.s, e := c.e, cat := c.cat, grade := c.grade, dets := {_BOTH}, r := least(c.r, f.r), note := c.note)
+WHEN f.s <= c.s AND c.e <= f.e THEN struct_pack(s := f.s, e := f.e, cat := f.cat, grade := f.grade, dets := {_BOTH}, r := least(c.r, f.r), note := f.note)
+ELSE struct_pack(s := least(c.s, f.s), e := greatest(c.e, f.e), cat := CASE WHEN f.r < c.r THEN f.cat ELSE c.cat END, grade := c.grade, dets := {_BOTH}, r := least(c.r, f.r), note := CASE WHEN c.note = '' THEN '중첩 병합' ELSE c.note || ' / 중첩 병합' END) END"""
 ORACLE |= {
+    "mrg_recorded": f"""WITH RECURSIVE f0 AS (SELECT DISTINCT ON (finding_id) finding_id, doc_id, seg_id, start_pos AS s, end_pos AS e, lower(category) AS cat, grade, list_sort(list_distinct(coalesce(detectors, []))) AS dets FROM findings WHERE start_pos >= 0 AND end_pos > start_pos),
+f1 AS (SELECT doc_id, seg_id, struct_pack(s := s, e := e, cat := cat, grade := grade, dets := dets, r := {_TRUST.format('dets')}, note := '') AS f, row_number() OVER (PARTITION BY doc_id, seg_id ORDER BY s, s - e, {_TRUST.format('dets')}, finding_id) AS n FROM f0),
+go AS (SELECT doc_id, seg_id, n, [f] AS l FROM f1 WHERE n = 1
+  UNION ALL SELECT x.doc_id, x.seg_id, x.n, CASE WHEN x.place IS NULL THEN list_append(x.l, x.f) ELSE list_transform(range(1, len(x.l) + 1), lambda i: CASE WHEN i <> x.place THEN x.l[i] ELSE {_MERGE.replace('c.', 'x.l[i].').replace('f.', 'x.f.')} END) END
+  FROM (SELECT b.doc_id, b.seg_id, b.n, b.f, g.l, list_filter(range(1, len(g.l) + 1), lambda i: b.f.s < g.l[i].e AND g.l[i].s < b.f.e)[1] AS place FROM go g JOIN f1 b ON b.doc_id IS NOT DISTINCT FROM g.doc_id AND b.seg_id IS NOT DISTINCT FROM g.seg_id AND b.n = g.n + 1) x),
+last AS (SELECT doc_id, seg_id, unnest(arg_max(l, n)) AS c FROM go GROUP BY doc_id, seg_id)
+SELECT doc_id, seg_id, CAST(c.s AS INT) AS start_pos, CAST(c.e AS INT) AS end_pos, c.cat AS category, c.grade AS grade, array_to_string(c.dets, ',') AS detectors, c.note AS note FROM last""",
+    "src_markdown_cells": r"""WITH d AS (SELECT doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS x FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) - 1 AS i FROM d),
+f AS (SELECT *, regexp_matches(line, '^\s*\|.*\|\s*$') AS row_, regexp_matches(line, '^\s*\|(?:\s*:?-{2,}:?\s*\|)+\s*$') AS rule_ FROM l), g AS (SELECT *, row_ AND NOT rule_ AND coalesce(lead(rule_) OVER w, false) AS opens FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+h AS (SELECT *, max(CASE WHEN opens THEN i END) OVER w AS o, max(CASE WHEN NOT row_ THEN i END) OVER w AS b, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER w AS t FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, o ORDER BY i) - 1 AS r FROM h WHERE o > coalesce(b, -1) AND NOT rule_),
+c AS (SELECT *, string_split(regexp_replace(regexp_replace(line, '^\s*\|', ''), '\|\s*$', ''), '|') AS cs FROM k), e AS (SELECT doc_id, i, t, r, o, unnest(cs) AS text, generate_subscripts(cs, 1) - 1 AS col FROM c)
+SELECT e.doc_id, printf('L%05dC%02d', e.i + 1, e.col) AS seg_id, CAST(e.t AS INT) AS table_no, CAST(e.r AS INT) AS row_no, CAST(e.col AS INT) AS col_no, CASE WHEN e.r = 0 THEN '' ELSE trim(coalesce(c.cs[e.col + 1], ''), ' ') END AS header_text, e.r = 0 AS is_header, e.text
+FROM e JOIN c ON c.doc_id = e.doc_id AND c.i = e.o""",
+    "l3_short_universities": rf"""WITH {_NAMES}, body AS (SELECT seg_key, doc_id, text FROM seg WHERE trim(text, ' ') <> '' AND NOT coalesce(table_ctx.is_header, false)),
+stem AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^가-힣])([가-힣]{{2,8}})대학교', 1)) AS value FROM body UNION SELECT doc_id, regexp_extract(value, '^([가-힣]{{2,8}})대학교$', 1) FROM names WHERE category = 'org'),
+pos AS (SELECT *, unnest(range(1, length(text) + 1)) AS i FROM body WHERE contains(text, '대')),
+hit AS (SELECT seg_key, doc_id, i - 1 AS s, regexp_extract(substr(text, i), '^([가-힣]{{2,8}}?)대(?:[^학]|$)', 1) AS value FROM pos WHERE i = 1 OR NOT regexp_matches(substr(text, i - 1, 1), '[가-힣]'))
+SELECT seg_key, CAST(s AS INT) AS start_pos, CAST(s + length(value) + 1 AS INT) AS end_pos, value FROM hit WHERE value <> '' AND EXISTS (SELECT 1 FROM stem WHERE stem.doc_id = hit.doc_id AND stem.value = hit.value)""",
     "grd_packages": f"""WITH {_FIND}, g AS (SELECT doc_id, count(*) AS total, max({_RANK}) AS r FROM f GROUP BY doc_id), docs AS (SELECT doc_id, bool_and(len(coalesce(parse_errors, [])) = 0 OR parse_errors[1].reason IS NULL) AS checked FROM hwpx_docs GROUP BY doc_id)
 SELECT docs.doc_id, coalesce(total, 0) AS total, checked, {_LEVEL.format('r')} AS level FROM docs LEFT JOIN g USING (doc_id)""",
     "rpt_samples": f"""WITH {_FIND}, v AS (SELECT category, trim(text, ' ') AS v, regexp_replace({_WIDE.format("trim(text, ' ')")}, '[^0-9]', '', 'g') AS d, doc_id, seg_id, finding_id FROM f WHERE category IS NOT NULL AND trim(text, ' ') <> ''),
