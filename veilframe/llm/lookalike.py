@@ -34,6 +34,7 @@ def invisible(ch: str) -> bool:
     return unicodedata.category(ch) == "Cf" or cp in (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0) or 0xFE00 <= cp <= 0xFE0F or 0x180B <= cp <= 0x180D or 0xE0100 <= cp <= 0xE01EF
 
 
+@lru_cache(maxsize=1 << 16)
 def decomposed(ch: str) -> str:
     """What one code point looks like, fully decomposed: canonical parts, the same sign in its plain width, its look-alike."""
     if invisible(ch):
