@@ -79,15 +79,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def bands_of(sigs: list[np.ndarray]) -> list[list[int]]:
+    """One number for each band of each signature; none for an empty one."""
+    some = [x for x in sigs if len(x)]
+    if not some:
+        return [[] for _ in sigs]
+    every = np.stack(some).astype(np.uint64).reshape(len(some), BANDS, ROWS)
+    total = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX, (len(some), BANDS)).copy()
+    for i in range(ROWS):
+        total = (total ^ every[:, :, i]) * _MIX
+        total ^= total >> np.uint64(31)
+    rows = iter(total.view(np.int64).tolist())
+    return [next(rows) if len(x) else [] for x in sigs]
+
+
 def bands(sig: np.ndarray) -> list[int]:
     """One number for each band of a signature."""
-    if not len(sig):
-        return []
-    total = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX
-    for col in sig.reshape(BANDS, ROWS).T.astype(np.uint64):
-        total = (total ^ col) * _MIX
-        total ^= total >> np.uint64(31)
-    return total.view(np.int64).tolist()
+    return bands_of([sig])[0]
 
 
 def _sets(texts: DataFrame) -> DataFrame:

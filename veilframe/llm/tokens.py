@@ -28,19 +28,20 @@ def encoder(path: str):
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def quality(text: str) -> float:
-    """Between 0.05 and 1: the share of letters among the signs, less for lines that say the same again."""
+_NO_LETTER = re.compile(r"[\W\d_]+")
+
+
+def quality(text: str, squeezed: str | None = None) -> float:
+    """Between 0.05 and 1: the share of letters among the signs, less for lines that say the same again. ``squeezed`` is the text with single blanks."""
     if not text:
         return 0.05
-    letters = sum(map(str.isalpha, text)) / max(1, len("".join(text.split())))
+    squeezed = " ".join(text.split()) if squeezed is None else squeezed
+    letters = len(_NO_LETTER.sub("", text)) / max(1, len(squeezed) - squeezed.count(" "))
     lines = [x for x in map(str.strip, text.split("\n")) if x]
     fresh = len(set(lines)) / len(lines) if lines else 1.0
     return round(max(0.05, min(1.0, letters * fresh)), 6)
 
 
-_SPACE = re.compile(r"\s+")
-
-
 def measure(documents: DataFrame, vocabulary: str = VOCABULARY, near: bool = False) -> DataFrame:
     """Rows (doc_id, source, n_tokens, quality, copy_key), one per doc_id; no text in them. With ``near`` also bands and sig (:mod:`veilframe.llm.copies`).
 
@@ -55,11 +56,12 @@ def measure(documents: DataFrame, vocabulary: str = VOCABULARY, near: bool = Fal
         for batch in batches:
             texts = batch.column(2).to_pylist()
             sizes = [len(enc.encode_ordinary(t)) if t else 0 for t in texts]
-            keys = [int.from_bytes(blake2b(_SPACE.sub(" ", t).strip().lower().encode(), digest_size=8).digest(), "big", signed=True) if t else None for t in texts]
-            cols = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array([quality(t or "") for t in texts], pa.float64()), pa.array(keys, pa.int64())]
+            tight = [" ".join(t.split()) if t else "" for t in texts]
+            keys = [int.from_bytes(blake2b(x.lower().encode(), digest_size=8).digest(), "big", signed=True) if t else None for t, x in zip(texts, tight, strict=True)]
+            cols = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array([quality(t or "", x) for t, x in zip(texts, tight, strict=True)], pa.float64()), pa.array(keys, pa.int64())]
             if near:
                 sigs = [copies.signature(copies.shingles(t, seen, distinct=False)) if t else [] for t in texts]
-                cols += [pa.array([copies.bands(x) if len(x) else [] for x in sigs], pa.list_(pa.int64())), pa.array([x.tobytes() if len(x) else None for x in sigs], pa.binary())]
+                cols += [pa.array(copies.bands_of(sigs), pa.list_(pa.int64())), pa.array([x.tobytes() if len(x) else None for x in sigs], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     names = ["doc_id", "source", "n_tokens", "quality", "copy_key", *(["bands", "sig"] if near else [])]
