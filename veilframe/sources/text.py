@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,39 +18,51 @@ def lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return out.select("doc_id", F.format_string("L%05d", F.col("ord") + 1).alias("seg_id"), "ord", F.lit("line").alias("kind"), F.regexp_replace("line", "\r$", "").alias("text"))
 
 
-_ROW, _SEPARATOR = r"^\s*\|.*\|\s*$", r"^\s*\|(?:\s*:?-{2,}:?\s*\|)+\s*$"
+_ROW, _SEPARATOR = re.compile(r"^\s*\|.*\|\s*$"), re.compile(r"^\s*\|(?:\s*:?-{2,}:?\s*\|)+\s*$")
+_CELLS = "line_no int, table_no int, row_no int, col_no int, header_text string, is_header boolean, text string"
 
 
-def markdown_cells(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, seg_id, table_no, row_no, col_no, header_text, is_header, text): cells of Markdown tables.
+def table_cells(text: str) -> list[tuple[int, int, int, int, str, bool, str]]:
+    """(line, table, row, column, header, is header, text) of the cells of a text's Markdown tables.
 
-    A table is a row line followed by a separator line, and the row lines after it. The lines of a document stay in
-    their array while tables are told apart, so there is no shuffle and no window over a document.
+    A table is a row line followed by a separator line, and the row lines after it; a row line before a further separator
+    opens another.
     """
-    arr = F.split(text, "\r?\n", -1)
-    src = documents.select(F.col(doc_id).alias("doc_id"), arr.alias("l"))
-    is_row = lambda i: F.coalesce(F.get("l", i), F.lit("")).rlike(_ROW)
-    is_sep = lambda i: F.coalesce(F.get("l", i), F.lit("")).rlike(_SEPARATOR)
-    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("t"), F.lit(-1).alias("r"), F.array().cast("array<struct<i:int,t:int,r:int>>").alias("out"))
-
-    def step(acc, _):
-        i = acc["i"]
-        opens = is_row(i) & ~is_sep(i) & is_sep(i + 1)
-        goes = ~opens & (acc["r"] >= 0) & is_row(i)
-        sep = goes & is_sep(i)
-        t = F.when(opens, acc["t"] + 1).otherwise(acc["t"])
-        r = F.when(opens, 0).when(sep, acc["r"]).when(goes, acc["r"] + 1).otherwise(-1)
-        mark = F.array(F.struct(i.alias("i"), t.alias("t"), r.alias("r")))
-        return F.struct((i + 1).alias("i"), t.alias("t"), r.alias("r"), F.when(opens | goes & ~sep, F.concat(acc["out"], mark)).otherwise(acc["out"]).alias("out"))
-
-    rows = src.filter(F.exists("l", lambda x: x.rlike(_SEPARATOR))).withColumn("m", F.explode(F.aggregate("l", zero, step, lambda a: a["out"])))
-    cells = lambda line: F.split(F.regexp_replace(F.regexp_replace(line, r"^\s*\|", ""), r"\|\s*$", ""), r"\|", -1)
-    head = F.get("l", F.col("m.i") - F.when(F.col("m.r") == 0, 0).otherwise(F.col("m.r") + 1))
-    out = rows.select("doc_id", F.col("m.i").alias("line_no"), F.col("m.t").alias("table_no"), F.col("m.r").alias("row_no"), cells(head).alias("h"), F.posexplode(cells(F.get("l", F.col("m.i")))).alias("col_no", "text"))
-    return out.select(
-        "doc_id", F.format_string("L%05dC%02d", F.col("line_no") + 1, F.col("col_no")).alias("seg_id"), "table_no", "row_no", "col_no",
-        F.when(F.col("row_no") == 0, F.lit("")).otherwise(F.trim(F.coalesce(F.get("h", F.col("col_no")), F.lit("")))).alias("header_text"), (F.col("row_no") == 0).alias("is_header"), "text",
-    )
+    lines = text.replace("\r\n", "\n").split("\n")
+    rows = [_ROW.match(x) is not None for x in lines]
+    rules = [_SEPARATOR.match(x) is not None for x in lines]
+    out: list[tuple] = []
+    heads: list[str] = []
+    table, row = 0, -1
+    for i, line in enumerate(lines):
+        if rows[i] and not rules[i] and i + 1 < len(lines) and rules[i + 1]:
+            table, row = table + 1, 0
+        elif row < 0 or not rows[i]:
+            row = -1
+            continue
+        elif rules[i]:
+            continue
+        else:
+            row += 1
+        cells = re.sub(r"\|\s*$", "", re.sub(r"^\s*\|", "", line)).split("|")
+        if row == 0:
+            heads = [c.strip(" ") for c in cells]
+        out += [(i, table, row, c, heads[c] if row and c < len(heads) else "", row == 0, cell) for c, cell in enumerate(cells)]
+    return out
+
+
+def markdown_cells(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (doc_id, seg_id, table_no, row_no, col_no, header_text, is_header, text): cells of Markdown tables. One pass, no shuffle."""
+
+    @F.pandas_udf(f"array<struct<{', '.join(c.replace(' ', ':') for c in _CELLS.split(', '))}>>")
+    def run(texts: pd.Series) -> pd.Series:
+        names = [c.split()[0] for c in _CELLS.split(", ")]
+        return pd.Series([[dict(zip(names, c, strict=True)) for c in table_cells(t)] for t in texts], dtype=object)
+
+    # Only a text with a separator line has tables.
+    some = documents.filter(F.col(text).rlike(r"(?m)^\s*\|(?:\s*:?-{2,}:?\s*\|)+\s*$"))
+    out = some.select(F.col(doc_id).alias("doc_id"), F.explode(run(F.col(text))).alias("c")).select("doc_id", "c.*")
+    return out.select("doc_id", F.format_string("L%05dC%02d", F.col("line_no") + 1, F.col("col_no")).alias("seg_id"), "table_no", "row_no", "col_no", "header_text", "is_header", "text")
 
 
 def separated_cells(documents: DataFrame, sep: str = ",", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
