@@ -31,3 +31,23 @@ def test_against_brute_force(spark):
     own = [i for i, t in enumerate(texts) if t]
     assert all((got[i] == got[j]) == (label[i] == label[j]) for i in own for j in own)
     assert got[texts.index("")] is None and copies.clustered(items.limit(0), docs).count() == 0
+
+
+def test_every_pair_counts(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    rows = []
+    for k in range(300):  # two words of 100 changed far from each other: 86 shingles of 106 in common, a Jaccard of 0.811
+        base = [word() for _ in range(100)]
+        own = list(base)
+        own[30], own[60] = word(), word()
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(own))]
+    # a hub of which all are near copies, and a chain through it
+    base = [word() for _ in range(200)]
+    for k in range(120):
+        rows.append((1000 + k, " ".join([*base[: 2 * (k % 20)], *(word() for _ in range(2)), *base[2 * (k % 20) + 2 :]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sigs = {i: copies.signature(copies.shingles(t)) for i, t in rows}
+    items = spark.createDataFrame([(i, i + 7, copies.bands(sigs[i]), bytearray(sigs[i].tobytes())) for i, _ in rows], "doc_id long, copy_key long, bands array<long>, sig binary")
+    got = {x.doc_id: x.copy_key for x in copies.clustered(items, docs).collect()}
+    assert all(got[2 * k] == got[2 * k + 1] for k in range(300)) and len(set(got.values())) == 301
