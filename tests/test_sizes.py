@@ -29,3 +29,10 @@ def test_met(spark):
     out = meet.contains(texts, values, "id", "text", "value")
     assert broadcasts(out, spark) == 0
     assert {tuple(r) for r in out.collect()} == {(1, "two"), (2, "fo")}
+
+
+def test_sieve(spark):
+    rows = spark.createDataFrame([(i, f"k{i}") for i in range(2000)], "id long, key string")
+    known = spark.createDataFrame([(f"k{i}",) for i in range(0, 2000, 100)], "key string")
+    kept = {r.key for r in meet.sifted(rows, known, "key").collect()}
+    assert {f"k{i}" for i in range(0, 2000, 100)} <= kept and len(kept) < 100
